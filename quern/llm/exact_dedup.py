@@ -29,7 +29,8 @@ def frequent_digests(digests: DataFrame, tracked: int = TRACKED) -> DataFrame:
         .groupBy("salt")
         .agg(F.expr(f"approx_top_k_accumulate(h, {tracked})").alias("state"))
     )
-    level2 = level1.agg(F.expr(f"approx_top_k_combine(state, {tracked})").alias("state"))
+    # Grouped, not global: a global aggregate also merges the empty sketches of empty partitions, which this function can't.
+    level2 = level1.groupBy((F.col("salt") * 0).alias("all")).agg(F.expr(f"approx_top_k_combine(state, {tracked})").alias("state"))
     found = level2.select(F.explode(F.expr(f"approx_top_k_estimate(state, {tracked})")).alias("x"))
     return found.where("x.count > 1 and x.item is not null").select(F.unhex("x.item").alias("digest"))
 
