@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from quern.llm import exact_dedup, mixing
+from quern.llm import exact_dedup, media, mixing, near_dedup
 from quern.llm.common import table
 
 QUERIES = {
+    "op1_bagminhash": lambda spark, sf: near_dedup.classes(table(spark, sf, "documents")),
+    "op6_jpeg_columns": lambda spark, sf: media.media_columns(table(spark, sf, "documents")),
     "op7_pareto_mixing": lambda spark, sf: mixing.mix(table(spark, sf, "documents")),
     "op10_exact_dedup": lambda spark, sf: exact_dedup.exact_groups(table(spark, sf, "documents")),
 }
