@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quern.llm import exact_dedup, media, mixing, near_dedup
+from quern.llm import exact_dedup, media, mixing, near_dedup, packing, token_counts
 from quern.llm.common import table
 
 QUERIES = {
     "op1_bagminhash": lambda spark, sf: near_dedup.classes(table(spark, sf, "documents")),
+    "op3_retrieval_packing": lambda spark, sf: packing.pack(table(spark, sf, "documents"), token_counts.vocabulary("word_bpe_49k.json")),
+    "op5_fst_token_counts": lambda spark, sf: token_counts.count_tokens(table(spark, sf, "documents"), token_counts.vocabulary("byte_bpe_50k.json")),
     "op6_jpeg_columns": lambda spark, sf: media.media_columns(table(spark, sf, "documents")),
     "op7_pareto_mixing": lambda spark, sf: mixing.mix(table(spark, sf, "documents")),
     "op10_exact_dedup": lambda spark, sf: exact_dedup.exact_groups(table(spark, sf, "documents")),
