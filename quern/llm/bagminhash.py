@@ -157,6 +157,11 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return key.view(np.int64)
 
 
+def slot_bytes(sig: np.ndarray) -> np.ndarray:
+    """One byte by document and slot: equal slots have equal bytes, others by chance once in 256."""
+    return (mix(sig.view(np.uint64)) & U(255)).astype(np.uint8)
+
+
 def digest(h: np.ndarray, count: np.ndarray) -> bytes:
     """Equal for equal multisets."""
     return hashlib.blake2b(h.tobytes() + count.astype(np.int64).tobytes(), digest_size=16).digest()

@@ -2,10 +2,13 @@
 
 1. One pass over the texts makes, for each document, a digest of its shingle multiset, its size and its
    band keys. Documents with equal multisets form a vertex; from here on copies cost nothing.
-2. Vertices that share a band key are candidates. Each key's least vertex leads; every other vertex of
-   the key is held against the leader. What fails its leader is led anew among those that failed
-   too, until no key has two left; so no key emits pairs beyond its size per round, and none is capped.
-3. Candidates are verified: the overlap of the multisets over their union is 0.8 or more.
+2. Vertices that share a band key are candidates. Each key's least vertex leads, and every other vertex of
+   the key is verified against the leader. That settles groups of near copies of any size with a pair per
+   vertex and key. What fails its leader, such as documents that share a passage and no more, is held
+   against others of its key by signatures, first-fit: all leaders so far whose estimate is within
+   MARGIN (4 standard errors) of the threshold are candidates. Buckets of more than BUCKET such rows are first
+   split by a second band. No key is dropped or capped.
+3. Candidates are verified exactly: the overlap of the multisets over their union is 0.8 or more.
 4. Verified links are contracted to components, whose least doc_id is the class.
 
 Leaders, fingerprints and links stay distributed. Null texts count as empty. Texts without a word are
@@ -30,6 +33,10 @@ from quern.llm.common import settle, text_or_empty
 SIMILAR = 0.8
 #: Bytes of text whose shingles are held at once.
 BATCH = 1 << 20
+#: How far below the threshold a signature's estimate may lie for a candidate.
+MARGIN = 0.14
+#: Rows in a bucket that are clustered together before it is split by a second band.
+BUCKET = 2048
 
 
 def _runs(texts: list[str], most: int = BATCH) -> Iterator[tuple[int, int]]:
@@ -49,7 +56,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in _runs(texts):
             doc, h, count = B.shingles(texts[a:b])
             sig = B.signatures(doc, h, count, b - a)
-            bands = B.band_keys(sig)
+            bands, bytes_ = B.band_keys(sig), B.slot_bytes(sig)
             cut = np.searchsorted(doc, np.arange(b - a + 1))
             size = np.array([count[cut[i] : cut[i + 1]].sum() for i in range(b - a)], np.int64)
             digests = [
@@ -58,8 +65,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ]
             offsets = np.concatenate(([0], np.cumsum(np.where(size > 0, B.BANDS, 0)))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(a, b - a), keys.slice(a, b - a), pa.array(digests, pa.binary()), pa.array(size), pa.ListArray.from_arrays(offsets, pa.array(bands[size > 0].reshape(-1)))],
-                ["doc_id", "tkey", "v", "n", "bands"],
+                [ids.slice(a, b - a), keys.slice(a, b - a), pa.array(digests, pa.binary()), pa.array(size), pa.array([r.tobytes() for r in bytes_], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(bands[size > 0].reshape(-1)))],
+                ["doc_id", "tkey", "v", "n", "sig", "bands"],
             )
 
 
@@ -75,17 +82,17 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, tkey, v, n, bands) of every document: v is its vertex, tkey a digest of its text."""
+    """(doc_id, tkey, v, n, sig, bands) of every document: v is its vertex, tkey a digest of its text."""
     t = docs.select("doc_id", text_or_empty().alias("text")).withColumn("tkey", F.unhex(F.md5("text")))
     kind = dict(docs.dtypes)["doc_id"]
-    return settle(t.mapInArrow(_sign, f"doc_id {kind}, tkey binary, v binary, n long, bands array<long>"))
+    return settle(t.mapInArrow(_sign, f"doc_id {kind}, tkey binary, v binary, n long, sig binary, bands array<long>"))
 
 
 def vertices(base: DataFrame) -> DataFrame:
-    """One row per vertex: v, n, bands, copies, rid (least id) and the tkey of that row."""
+    """One row per vertex: v, n, sig, bands, copies, rid (least id) and the tkey of that row."""
     one = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "tkey"))
-    t = base.groupBy("v").agg(one.alias("one"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    return settle(t.select("v", "n", "bands", "copies", F.col("one.doc_id").alias("rid"), F.col("one.tkey").alias("tkey")))
+    t = base.groupBy("v").agg(one.alias("one"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    return settle(t.select("v", "n", "sig", "bands", "copies", F.col("one.doc_id").alias("rid"), F.col("one.tkey").alias("tkey")))
 
 
 def multisets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -103,29 +110,70 @@ def verified(pairs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> Da
     return both.select("a", "b", common.alias("common"), (F.size("ia") + F.size("ib")).alias("both")).where(F.col("common") >= F.lit(similar) * (F.col("both") - F.col("common"))).select("a", "b").distinct()
 
 
+def _cluster(sig: np.ndarray, size: np.ndarray, similar: float) -> Iterator[tuple[int, int]]:
+    """Pairs of rows that may be alike by their signatures, first-fit: a row is held against the leaders so far, and leads too unless one is as near as `similar`."""
+    leads: list[int] = []
+    for x in range(len(sig)):
+        if leads:
+            led = np.array(leads)
+            fits = np.minimum(size[led], size[x]) >= similar * np.maximum(size[led], size[x])
+            led = led[fits]
+            share = ((sig[led] == sig[x]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+            for y in led[share >= similar - MARGIN].tolist():
+                yield y, x
+            if (share >= similar).any():
+                continue
+        leads.append(x)
+
+
+def _cluster_buckets(similar: float):
+    """Over rows (key, v, n, sig) that are sorted by key: the pairs (a, b) of `_cluster` in each key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(key, v, n, sig) -> pa.RecordBatch:
+            found = list(_cluster(np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), -1), np.array(n), similar)) if len(v) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([v[x] for x, _ in found], pa.binary()), pa.array([v[y] for _, y in found], pa.binary())], ["a", "b"])
+
+        now, v, n, sig = None, [], [], []
+        for batch in batches:
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "v", "n", "sig"))):
+                if key != now:
+                    if len(v) > 1:
+                        yield done(now, v, n, sig)
+                    now, v, n, sig = key, [], [], []
+                for to, x in zip((v, n, sig), row):
+                    to.append(x)
+        if len(v) > 1:
+            yield done(now, v, n, sig)
+
+    return run
+
+
+def _led(rows: DataFrame) -> DataFrame:
+    """(key, a, na, b, nb): each row of a key beside the key's least vertex."""
+    leads = rows.groupBy("key").agg(F.min(F.struct("v", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1").select("key", F.col("lead.v").alias("a"), F.col("lead.n").alias("na"))
+    return rows.join(leads, "key").where("v != a").select("key", "a", "na", F.col("v").alias("b"), F.col("n").alias("nb"))
+
+
 def links(docs: DataFrame, verts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Verified links (a, b) between vertices."""
-    rows = verts.where("n > 0").select("v", "n", F.explode("bands").alias("key"))
-    found, items, known = [], None, None
-    while True:
-        leads = rows.groupBy("key").agg(F.min(F.struct("v", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1").select("key", F.col("lead.v").alias("a"), F.col("lead.n").alias("na"))
-        led = settle(rows.join(leads, "key").where("v != a").select("key", "a", "na", F.col("v").alias("b"), F.col("n").alias("nb")))
-        pairs = led.where((F.least("na", "nb") >= F.lit(similar) * F.greatest("na", "nb"))).select("a", "b").distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        pairs = settle(pairs)
-        if items is None:
-            who = led.select(F.col("a").alias("v")).union(led.select(F.col("b").alias("v"))).distinct()
-            items = settle(multisets(docs, verts.join(who, "v", "left_semi").select("v", "rid", "tkey")))
-        good = settle(verified(pairs, items, similar))
-        found.append(good)
-        links_so_far = found[0]
-        for f in found[1:]:
-            links_so_far = links_so_far.union(f)
-        known = pairs if known is None else known.union(pairs)
-        rows = settle(led.join(links_so_far, ["a", "b"], "left_anti").select(F.col("b").alias("v"), F.col("nb").alias("n"), "key"))
-        if rows.isEmpty():
-            return links_so_far
+    full = verts.where("n > 0")
+    led = settle(_led(full.select("v", "n", F.explode("bands").alias("key"))))
+    first = settle(led.where(F.least("na", "nb") >= F.lit(similar) * F.greatest("na", "nb")).select("a", "b").distinct())
+    who = led.select(F.col("a").alias("v")).union(led.select(F.col("b").alias("v"))).distinct()
+    items = settle(multisets(docs, verts.join(who, "v", "left_semi").select("v", "rid", "tkey")))
+    good = settle(verified(first, items, similar))
+    left = led.join(good, ["a", "b"], "left_anti").select(F.col("b").alias("v"), "key")
+    rest = settle(left.join(left.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"))
+    small = rest.where(F.col("size") <= BUCKET).select("key", "v")
+    # A vertex of a large bucket takes part once for each of its other bands, in buckets of twice the rows.
+    large = rest.where(F.col("size") > BUCKET).join(full.select("v", "bands"), "v").select("v", F.col("key").alias("k1"), F.explode("bands").alias("k2"))
+    large = large.where("k1 != k2").select(F.xxhash64(F.least("k1", "k2"), F.greatest("k1", "k2")).alias("key"), "v").distinct()
+    dealt = small.union(large).join(full.select("v", "n", "sig"), "v").repartition("key").sortWithinPartitions("key", "v")
+    pairs = dealt.select("key", "v", "n", "sig").mapInArrow(_cluster_buckets(similar), "a binary, b binary")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    second = settle(verified(settle(pairs), items, similar))
+    return good.union(second)
 
 
 def components(edges: DataFrame) -> DataFrame:
