@@ -44,7 +44,7 @@ class WordTokenizer:
     left to the library as a whole, since Unicode versions may differ there.
     """
 
-    MOST_PIECES = 500_000
+    MOST_PIECES = 800_000
     PLAIN = re.compile("[^\t-\r -\x7e\xa0-\u024f\u2010-\u2027]")
 
     def __init__(self, path: str) -> None:
@@ -93,7 +93,7 @@ class WordTokenizer:
         if len(self.index) > self.MOST_PIECES:
             self.reset()
         flat = list(itertools.chain.from_iterable(pieces))
-        self.learn(sorted(set(flat).difference(self.index)))
+        self.learn(list(set(flat).difference(self.index)))
         at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
         first, n = at >> 16, at & 0xFFFF
         upto = np.concatenate(([0], np.cumsum(n)))
