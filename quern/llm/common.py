@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +57,33 @@ def text_or_empty(name: str = "text") -> Column:
 def maybe_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
     """`df` with a broadcast hint if its counted `rows` are at most `most`; else a shuffled join is left to AQE."""
     return F.broadcast(df) if rows <= most else df
+
+
+def text_slices(column, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours in an Arrow string column that hold about `most` bytes together."""
+    import pyarrow.compute as pc
+
+    a = total = 0
+    sizes = pc.binary_length(column).to_pylist()
+    for b, n in enumerate(sizes):
+        if b > a and total + (n or 0) > most:
+            yield a, b
+            a, total = b, 0
+        total += n or 0
+    if sizes:
+        yield a, len(sizes)
+
+
+def release_memory() -> None:
+    """Give memory that a Python worker no longer uses back to the system, since idle workers stay."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import bagminhash as B
-from quern.llm.common import settle, text_or_empty
+from quern.llm.common import release_memory, settle, text_or_empty, text_slices
 
 SIMILAR = 0.8
 #: Bytes of text whose shingles are held at once.
@@ -39,28 +39,18 @@ MARGIN = 0.14
 BUCKET = 2048
 
 
-def _runs(texts: list[str], most: int = BATCH) -> Iterator[tuple[int, int]]:
-    a = total = 0
-    for b, t in enumerate(texts):
-        if b > a and total + len(t) > most:
-            yield a, b
-            a, total = b, 0
-        total += len(t)
-    if texts:
-        yield a, len(texts)
-
-
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, ids, keys = batch.column("text").to_pylist(), batch.column("doc_id"), batch.column("tkey")
-        for a, b in _runs(texts):
-            doc, h, count = B.shingles(texts[a:b])
+        column, ids, keys = batch.column("text"), batch.column("doc_id"), batch.column("tkey")
+        for a, b in text_slices(column, BATCH):
+            texts = column.slice(a, b - a).to_pylist()
+            doc, h, count = B.shingles(texts)
             sig = B.signatures(doc, h, count, b - a)
             bands, bytes_ = B.band_keys(sig), B.slot_bytes(sig)
             cut = np.searchsorted(doc, np.arange(b - a + 1))
             size = np.array([count[cut[i] : cut[i + 1]].sum() for i in range(b - a)], np.int64)
             digests = [
-                B.digest(h[cut[i] : cut[i + 1]], count[cut[i] : cut[i + 1]]) if size[i] else hashlib.blake2b(texts[a + i].encode("utf-8", "surrogatepass"), digest_size=16, key=b"no words").digest()
+                B.digest(h[cut[i] : cut[i + 1]], count[cut[i] : cut[i + 1]]) if size[i] else hashlib.blake2b(texts[i].encode("utf-8", "surrogatepass"), digest_size=16, key=b"no words").digest()
                 for i in range(b - a)
             ]
             offsets = np.concatenate(([0], np.cumsum(np.where(size > 0, B.BANDS, 0)))).astype(np.int32)
@@ -68,17 +58,19 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [ids.slice(a, b - a), keys.slice(a, b - a), pa.array(digests, pa.binary()), pa.array(size), pa.array([r.tobytes() for r in bytes_], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(bands[size > 0].reshape(-1)))],
                 ["doc_id", "tkey", "v", "n", "sig", "bands"],
             )
+    release_memory()
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, v = batch.column("text").to_pylist(), batch.column("v")
-        for a, b in _runs(texts):
-            doc, h, count = B.shingles(texts[a:b])
+        column, v = batch.column("text"), batch.column("v")
+        for a, b in text_slices(column, BATCH):
+            doc, h, count = B.shingles(column.slice(a, b - a).to_pylist())
             size = np.bincount(doc, count, b - a).astype(np.int64)
             values = B.elements(h, count)
             offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([v.slice(a, b - a), pa.ListArray.from_arrays(offsets, pa.array(values))], ["v", "items"])
+    release_memory()
 
 
 def signed(docs: DataFrame) -> DataFrame:
