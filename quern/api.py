@@ -1,0 +1,91 @@
+"""The engine: indexing, search and status over a store."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.embedders import Embedder, Rejected, Unavailable
+from quern.functions.text import semantic_snippet
+from quern.operators import fusion as H
+from quern.operators import lexicon as L
+from quern.operators import ranking as R
+from quern.operators import status as S
+from quern.operators import vectors as V
+from quern.sources import readers
+from quern.sources.store import Store
+
+SKIPPED = (".git", "node_modules", "__pycache__", ".venv", "venv", ".obsidian", ".trash")
+
+
+@dataclass(frozen=True)
+class Config:
+    """Settings of a corpus."""
+
+    directories: tuple[str, ...] = ()
+    images: tuple[str, ...] = ()
+    suffixes: tuple[str, ...] = (".md", ".txt")
+    skip: tuple[str, ...] = SKIPPED
+    model: str = "hash-8"
+    overlap: int = 0
+    workers: int = 4
+    extra: dict = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "overlap", min(max(0, int(self.overlap)), 2000))
+        object.__setattr__(self, "workers", max(1, int(self.workers)))
+
+
+@dataclass
+class Hits:
+    rows: DataFrame
+    degraded: bool = False
+
+
+class Engine:
+    def __init__(self, spark: SparkSession, root: str, config: Config, embedder: Embedder | None = None) -> None:
+        self.spark, self.store, self.config, self.embedder = spark, Store(spark, root), config, embedder
+
+    def index(self, full: bool = False) -> dict:
+        """Scan the roots and refresh the store; files of missing roots stay as they are."""
+        files, missing = readers.scan(self.spark, list(self.config.directories), self.config.suffixes, self.config.skip)
+        paths = [r["path"] for r in files.select("path").collect()]  # the driver walked them itself
+        texts = readers.read_texts(self.spark, paths) if paths else self.spark.createDataFrame([], "path string, text string, markdown boolean")
+        gone = self.spark.createDataFrame([(m,) for m in missing], "directory string") if missing else None
+        return self.store.refresh(files, texts, self.embedder, self.config.model, full, self.config.overlap, gone)
+
+    def lexical(self, query: str, limit: int = 10, strict: bool = False, prefix: str | None = None, max_chars: int | None = None) -> DataFrame:
+        return R.search_hits(L.tokenised(self.store.table("chunks")), self.store.table("files"), query, limit, strict, prefix, max_chars)
+
+    def semantic(self, query: str, limit: int = 10, prefix: str | None = None, max_chars: int | None = None) -> DataFrame | None:
+        """Nearest chunks; None where vectors are unavailable, nothing where the query can't be embedded."""
+        vectors, chunks = self.store.table("embeddings"), self.store.table("chunks")
+        if self.embedder is None or vectors.isEmpty():
+            return None
+        try:
+            vector = self.embedder([query])[0]
+        except Unavailable:
+            return None
+        except Rejected:
+            vector = []
+        allowed = chunks.where(F.col("file_path").startswith(prefix.rstrip("/") + "/")) if prefix else None
+        near = V.top_k(vectors, vector, limit, allowed).join(chunks, "chunk_id")
+        return R.with_mtimes(R.shaped(near, "semantic", semantic_snippet(F.col("content"), max_chars)), self.store.table("files"))
+
+    def search(self, query: str, limit: int = 10, semantic: bool = False, both: bool = False, strict: bool = False, prefix: str | None = None, max_chars: int | None = None) -> Hits:
+        """Lexical by default; semantic wins over both if both are asked for; without vectors the lexical hits, degraded."""
+        near = self.semantic(query, limit, prefix, max_chars) if semantic or both else None
+        if semantic and near is not None:
+            return Hits(near.orderBy(F.desc("score"), "chunk_id"))
+        words = self.lexical(query, limit, strict, prefix, max_chars)
+        if not (semantic or both):
+            return Hits(words.orderBy(F.desc("score"), "chunk_id"))
+        rows, degraded = H.hybrid(words, near, limit)
+        return Hits(rows, degraded)
+
+    def status(self) -> DataFrame:
+        t = self.store.table
+        roots = self.spark.createDataFrame([(d,) for d in self.config.directories], "directory string")
+        return S.report(roots, t("files"), t("chunks"), t("embeddings"), t("meta"))
