@@ -5,8 +5,8 @@
 2. Vertices that share a band key are candidates. Each key's least vertex leads, and every other vertex of
    the key is verified against the leader. That settles groups of near copies of any size with a pair per
    vertex and key. What fails its leader, such as documents that share a passage and no more, is held
-   against others of its key by signatures, first-fit: all leaders so far whose estimate is within
-   MARGIN (4 standard errors) of the threshold are candidates. Buckets of more than BUCKET such rows are first
+   against others of its key and of other components by signatures, first-fit: all leaders so far whose estimate is within
+   MARGIN (3.6 standard errors) of the threshold are candidates. Buckets of more than BUCKET such rows are first
    split by a second band. No key is dropped or capped.
 3. Candidates are verified exactly: the overlap of the multisets over their union is 0.8 or more.
 4. Verified links are contracted to components, whose least doc_id is the class.
@@ -20,6 +20,7 @@ extra columns of any name pass through `drop_near_copies`.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +33,9 @@ from quern.llm.common import release_memory, settle, text_or_empty, text_slices
 
 SIMILAR = 0.8
 #: Bytes of text whose shingles are held at once.
-BATCH = 1 << 20
+BATCH = 1 << 19
 #: How far below the threshold a signature's estimate may lie for a candidate.
-MARGIN = 0.14
+MARGIN = 0.12
 #: Rows in a bucket that are clustered together before it is split by a second band.
 BUCKET = 2048
 
@@ -102,16 +103,15 @@ def verified(pairs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> Da
     return both.select("a", "b", common.alias("common"), (F.size("ia") + F.size("ib")).alias("both")).where(F.col("common") >= F.lit(similar) * (F.col("both") - F.col("common"))).select("a", "b").distinct()
 
 
-def _cluster(sig: np.ndarray, size: np.ndarray, similar: float) -> Iterator[tuple[int, int]]:
-    """Pairs of rows that may be alike by their signatures, first-fit: a row is held against the leaders so far, and leads too unless one is as near as `similar`."""
+def _cluster(sig: np.ndarray, size: np.ndarray, root: np.ndarray, similar: float) -> Iterator[tuple[int, int]]:
+    """Pairs of rows of different roots that may be alike by their signatures, first-fit: a row is held against the leaders so far, and leads too unless one is as near as `similar`."""
     leads: list[int] = []
     for x in range(len(sig)):
         if leads:
             led = np.array(leads)
-            fits = np.minimum(size[led], size[x]) >= similar * np.maximum(size[led], size[x])
-            led = led[fits]
+            led = led[np.minimum(size[led], size[x]) >= similar * np.maximum(size[led], size[x])]
             share = ((sig[led] == sig[x]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-            for y in led[share >= similar - MARGIN].tolist():
+            for y in led[(share >= similar - MARGIN) & (root[led] != root[x])].tolist():
                 yield y, x
             if (share >= similar).any():
                 continue
@@ -119,24 +119,29 @@ def _cluster(sig: np.ndarray, size: np.ndarray, similar: float) -> Iterator[tupl
 
 
 def _cluster_buckets(similar: float):
-    """Over rows (key, v, n, sig) that are sorted by key: the pairs (a, b) of `_cluster` in each key."""
+    """Over rows (key, v, n, sig, root) that are sorted by key: the pairs (a, b) of `_cluster` in each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(key, v, n, sig) -> pa.RecordBatch:
-            found = list(_cluster(np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), -1), np.array(n), similar)) if len(v) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([v[x] for x, _ in found], pa.binary()), pa.array([v[y] for _, y in found], pa.binary())], ["a", "b"])
+        names = ("v", "n", "sig", "root")
 
-        now, v, n, sig = None, [], [], []
+        def done(v: list, n: list, sig: list, root: list) -> Iterator[pa.RecordBatch]:
+            if len(set(root)) < 2:
+                return
+            number = {r: k for k, r in enumerate(dict.fromkeys(root))}
+            pairs = _cluster(np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), -1), np.array(n), np.array([number[r] for r in root]), similar)
+            while found := list(itertools.islice(pairs, 4096)):
+                yield pa.RecordBatch.from_arrays([pa.array([v[x] for x, _ in found], pa.binary()), pa.array([v[y] for _, y in found], pa.binary())], ["a", "b"])
+
+        now, bucket = None, tuple([] for _ in names)
         for batch in batches:
-            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "v", "n", "sig"))):
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", *names))):
                 if key != now:
-                    if len(v) > 1:
-                        yield done(now, v, n, sig)
-                    now, v, n, sig = key, [], [], []
-                for to, x in zip((v, n, sig), row):
+                    yield from done(*bucket)
+                    now, bucket = key, tuple([] for _ in names)
+                for to, x in zip(bucket, row):
                     to.append(x)
-        if len(v) > 1:
-            yield done(now, v, n, sig)
+        yield from done(*bucket)
+        release_memory()
 
     return run
 
@@ -147,25 +152,35 @@ def _led(rows: DataFrame) -> DataFrame:
     return rows.join(leads, "key").where("v != a").select("key", "a", "na", F.col("v").alias("b"), F.col("n").alias("nb"))
 
 
-def links(docs: DataFrame, verts: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Verified links (a, b) between vertices."""
+def grouped(docs: DataFrame, verts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(v, root) of every vertex that has a link."""
     full = verts.where("n > 0")
     led = settle(_led(full.select("v", "n", F.explode("bands").alias("key"))))
     first = settle(led.where(F.least("na", "nb") >= F.lit(similar) * F.greatest("na", "nb")).select("a", "b").distinct())
     who = led.select(F.col("a").alias("v")).union(led.select(F.col("b").alias("v"))).distinct()
     items = settle(multisets(docs, verts.join(who, "v", "left_semi").select("v", "rid", "tkey")))
     good = settle(verified(first, items, similar))
-    left = led.join(good, ["a", "b"], "left_anti").select(F.col("b").alias("v"), "key")
-    rest = settle(left.join(left.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"))
-    small = rest.where(F.col("size") <= BUCKET).select("key", "v")
+    roots = components(good)
+    # What failed its leader, in keys that still hold different components.
+    left = led.join(good, ["a", "b"], "left_anti").select(F.col("b").alias("v"), "key").join(roots, "v", "left").select("v", "key", F.coalesce("root", "v").alias("root"))
+    mixed = left.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key", "size")
+    rest = settle(left.join(mixed, "key"))
+    small = rest.where(F.col("size") <= BUCKET).select("key", "v", "root")
     # A vertex of a large bucket takes part once for each of its other bands, in buckets of twice the rows.
-    large = rest.where(F.col("size") > BUCKET).join(full.select("v", "bands"), "v").select("v", F.col("key").alias("k1"), F.explode("bands").alias("k2"))
-    large = large.where("k1 != k2").select(F.xxhash64(F.least("k1", "k2"), F.greatest("k1", "k2")).alias("key"), "v").distinct()
+    large = rest.where(F.col("size") > BUCKET).join(full.select("v", "bands"), "v").select("v", "root", F.col("key").alias("k1"), F.explode("bands").alias("k2"))
+    large = large.where("k1 != k2").select(F.xxhash64(F.least("k1", "k2"), F.greatest("k1", "k2")).alias("key"), "v", "root").distinct()
     dealt = small.union(large).join(full.select("v", "n", "sig"), "v").repartition("key").sortWithinPartitions("key", "v")
-    pairs = dealt.select("key", "v", "n", "sig").mapInArrow(_cluster_buckets(similar), "a binary, b binary")
+    pairs = dealt.select("key", "v", "n", "sig", "root").mapInArrow(_cluster_buckets(similar), "a binary, b binary")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = settle(verified(settle(pairs), items, similar))
-    return good.union(second)
+    second = verified(settle(pairs), items, similar)
+    to_a, to_b = roots.select(F.col("v").alias("a"), F.col("root").alias("x")), roots.select(F.col("v").alias("b"), F.col("root").alias("y"))
+    across = second.join(to_a, "a", "left").join(to_b, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+    across = settle(across.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    if across.isEmpty():
+        return roots
+    more = components(across)
+    every = roots.unionByName(more.join(roots, "v", "left_anti").select("v", F.col("v").alias("root")))
+    return every.join(more.select(F.col("v").alias("root"), F.col("root").alias("to")), "root", "left").select("v", F.coalesce("to", "root").alias("root"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -189,7 +204,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its class), class_size, n_shingles, kept."""
     base = signed(docs)
     verts = vertices(base)
-    roots = components(links(docs, verts, similar))
+    roots = grouped(docs, verts, similar)
     of = verts.join(roots, "v", "left").select("v", "rid", "copies", F.coalesce("root", "v").alias("root"))
     sums = of.groupBy("root").agg(F.min("rid").alias("class_id"), F.sum("copies").alias("class_size"))
     named = settle(of.join(sums, "root").select("v", "class_id", "class_size"))
