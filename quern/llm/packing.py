@@ -7,7 +7,7 @@ first that doesn't fit is cut; its rest seeds the next window. So only a shard's
 that is cut at powers of two, which need no padding.
 
 The number of shards follows from the length of all texts; items are dealt to shards by a digest of their
-id, place and row, so that repeated rows spread. Null texts count as empty: they are the end token alone. A
+id, place and content, so that a lost task that runs again deals alike. Null texts count as empty: they are the end token alone. A
 null doc_id stays null. Every row is packed, repeated rows too. An empty table gives an empty result; only
 doc_id and text are read, so extra columns never clash.
 """
@@ -198,9 +198,7 @@ def items_of(docs: DataFrame, path: str, shards: int, window: int = WINDOW, end_
     """(shard, doc_id, start, length, doc_tokens, crc, ids): whole windows of long documents have a crc, the rests have ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        tok, part, row = tokenizer(path), TaskContext.get().partitionId(), 0
+        tok = tokenizer(path)
         for pdf in batches:
             texts, ids_of = pdf["text"].tolist(), pdf["doc_id"].astype("Int64").tolist()
             a = total = 0
@@ -209,12 +207,12 @@ def items_of(docs: DataFrame, path: str, shards: int, window: int = WINDOW, end_
                     out = []
                     for doc_id, ids in zip(ids_of[a:b], tok.encode(texts[a:b])):
                         ids = np.append(ids, np.uint16(end_id))
-                        row += 1
                         for start in range(0, len(ids), window):
                             p = ids[start : start + window]
-                            shard = zlib.crc32(b"%d:%d:%d" % (part, row, start)) % shards
-                            whole = len(p) == window
-                            out.append((shard, doc_id, start, len(p), len(ids), crc(p) if whole else None, None if whole else p.astype("<u2").tobytes()))
+                            check, whole = crc(p), len(p) == window
+                            # by content alone, so that a task that runs again deals alike
+                            shard = zlib.crc32(f"{doc_id}:{start}:{check}".encode()) % shards
+                            out.append((shard, doc_id, start, len(p), len(ids), check if whole else None, None if whole else p.astype("<u2").tobytes()))
                     yield pd.DataFrame(out, columns=["shard", "doc_id", "start", "length", "doc_tokens", "crc", "ids"]).astype({"doc_id": "Int64", "crc": "Int64"})
                     a, total = b, 0
                 total += len(texts[b]) if b < len(texts) else 0
