@@ -104,9 +104,16 @@ def verified(pairs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> Da
 
 
 def _cluster(sig: np.ndarray, size: np.ndarray, root: np.ndarray, similar: float) -> Iterator[tuple[int, int]]:
-    """Pairs of rows of different roots that may be alike by their signatures, first-fit: a row is held against the leaders so far, and leads too unless one is as near as `similar`."""
+    """Pairs of rows of different roots that may be alike by their signatures, first-fit: a row is held against the leaders so far, and leads too unless one is as near as `similar`.
+
+    Rows come in order of agreement with the bucket's most common slots, so that the text from which near copies were made leads
+    them all, rather than one of its copies, to which the others are less alike.
+    """
+    slots = sig.shape[1]
+    counts = np.bincount((sig + np.arange(slots) * 256).ravel(), minlength=256 * slots).reshape(slots, 256)
+    common = counts.argmax(axis=1)
     leads: list[int] = []
-    for x in range(len(sig)):
+    for x in np.argsort(-(sig == common).sum(axis=1), kind="stable").tolist():
         if leads:
             led = np.array(leads)
             led = led[np.minimum(size[led], size[x]) >= similar * np.maximum(size[led], size[x])]
