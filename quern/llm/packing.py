@@ -32,7 +32,7 @@ from quern.llm.token_fst import byte_alphabet
 WINDOW = 4096
 END_ID = 2
 #: Characters of text in a shard; the memory of a task follows from it.
-SHARD_CHARS = 4_000_000
+SHARD_CHARS = 2_000_000
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
