@@ -4,10 +4,10 @@
    band keys. Documents with equal multisets form a vertex; from here on copies cost nothing.
 2. Vertices that share a band key are candidates. Each key's least vertex leads, and every other vertex of
    the key is verified against the leader. That settles groups of near copies of any size with a pair per
-   vertex and key. What fails its leader, such as documents that share a passage and no more, is held
-   against others of its key and of other components by signatures, first-fit: all leaders so far whose estimate is within
-   MARGIN (3.6 standard errors) of the threshold are candidates. Buckets of more than BUCKET such rows are first
-   split by a second band. No key is dropped or capped.
+   vertex and key. Then all rows of a key, those that passed too, are held against its rows of other components by
+   signatures, and those within MARGIN (3.6 standard errors) of the threshold are candidates. Rounds take the likest few
+   of each row first and contract what is verified; the last takes all candidates that are left. Buckets of more than
+   BUCKET rows are first split by a second band. No key is dropped or capped.
 3. Candidates are verified exactly: the overlap of the multisets over their union is 0.8 or more.
 4. Verified links are contracted to components, whose least doc_id is the class.
 
@@ -20,7 +20,6 @@ extra columns of any name pass through `drop_near_copies`.
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +37,8 @@ BATCH = 1 << 19
 MARGIN = 0.12
 #: Rows in a bucket that are clustered together before it is split by a second band.
 BUCKET = 2048
+#: Candidates that a row names in each round; the last round takes all that are still of different components.
+ROUNDS = (2, 16, None)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,29 +104,65 @@ def verified(pairs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> Da
     return both.select("a", "b", common.alias("common"), (F.size("ia") + F.size("ib")).alias("both")).where(F.col("common") >= F.lit(similar) * (F.col("both") - F.col("common"))).select("a", "b").distinct()
 
 
-def _cluster(sig: np.ndarray, size: np.ndarray, root: np.ndarray, similar: float) -> Iterator[tuple[int, int]]:
-    """Pairs of rows of different roots that may be alike by their signatures, first-fit: a row is held against the leaders so far, and leads too unless one is as near as `similar`.
+def _cluster(sig: np.ndarray, size: np.ndarray, root: np.ndarray, similar: float, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of different roots whose signatures agree up to MARGIN: all of them, each once, or those of each row with its `most` likest.
 
-    Rows come in order of agreement with the bucket's most common slots, so that the text from which near copies were made leads
-    them all, rather than one of its copies, to which the others are less alike.
+    Every row is held against every row of another root. Equal slots are counted over three bits of a slot first, which
+    never counts too few, and then over whole slots.
     """
-    slots = sig.shape[1]
-    counts = np.bincount((sig + np.arange(slots) * 256).ravel(), minlength=256 * slots).reshape(slots, 256)
-    common = counts.argmax(axis=1)
-    leads: list[int] = []
-    for x in np.argsort(-(sig == common).sum(axis=1), kind="stable").tolist():
-        if leads:
-            led = np.array(leads)
-            led = led[np.minimum(size[led], size[x]) >= similar * np.maximum(size[led], size[x])]
-            share = ((sig[led] == sig[x]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-            for y in led[(share >= similar - MARGIN) & (root[led] != root[x])].tolist():
-                yield y, x
-            if (share >= similar).any():
-                continue
-        leads.append(x)
-
-
-def _cluster_buckets(similar: float):
+    rows, slots = sig.shape
+    need = int(np.ceil(slots * ((similar - MARGIN) * (1 - 1 / 256) + 1 / 256) - 1e-9))
+    width = -(-slots // 64) * 8
+    planes = []
+    for bit in range(3):
+        packed = np.zeros((rows, width), np.uint8)
+        packed[:, : -(-slots // 8)] = np.packbits(sig >> bit & 1, axis=1)
+        planes.append(packed.view(np.uint64))
+    order = np.argsort(root, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(root[order])) + 1, rows)
+    a = 0
+    while a < rows:
+        end = int(ends[np.searchsorted(ends, a, "right")])
+        b = min(a + 128, end if end - a > 128 else rows)
+        left = order[a:b]
+        # Rows of one root alone are not held against others of that root.
+        if most is not None:
+            against = order[root[order] != root[left[0]]] if b <= end else order
+        else:
+            against = order[end if b <= end else a :]
+        best = (np.zeros(0, np.int64),) * 3
+        for c in range(0, len(against), 2048):
+            right = against[c : c + 2048]
+            unlike = np.zeros((len(left), len(right)), np.uint8)
+            for w in range(width // 8):
+                off = planes[0][left, w][:, None] ^ planes[0][right, w][None, :]
+                for plane in planes[1:]:
+                    off |= plane[left, w][:, None] ^ plane[right, w][None, :]
+                unlike += np.bitwise_count(off)
+            i, j = np.nonzero(unlike <= slots - need)
+            x, y = left[i], right[j]
+            near = (root[x] != root[y]) & (np.minimum(size[x], size[y]) >= similar * np.maximum(size[x], size[y]))
+            if most is None:
+                near &= (x < y) | (j + c >= b - a if b > end else True)
+            x, y = x[near], y[near]
+            for k in range(0, len(x), 1 << 16):
+                u, v = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+                equal = (sig[u] == sig[v]).sum(axis=1)
+                u, v, equal = u[equal >= need], v[equal >= need], equal[equal >= need]
+                if most is None:
+                    yield u, v
+                    continue
+                u, v, equal = (np.concatenate(z) for z in zip(best, (u, v, equal)))
+                by = np.lexsort((v, -equal, u))
+                first = np.searchsorted(u[by], u[by])
+                by = by[np.arange(len(by)) - first < most]
+                best = u[by], v[by], equal[by]
+        if most is not None and len(best[0]):
+            yield best[:2]
+        a = b
+
+
+def _cluster_buckets(similar: float, most: int | None):
     """Over rows (key, v, n, sig, root) that are sorted by key: the pairs (a, b) of `_cluster` in each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,9 +172,10 @@ def _cluster_buckets(similar: float):
             if len(set(root)) < 2:
                 return
             number = {r: k for k, r in enumerate(dict.fromkeys(root))}
-            pairs = _cluster(np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), -1), np.array(n), np.array([number[r] for r in root]), similar)
-            while found := list(itertools.islice(pairs, 4096)):
-                yield pa.RecordBatch.from_arrays([pa.array([v[x] for x, _ in found], pa.binary()), pa.array([v[y] for _, y in found], pa.binary())], ["a", "b"])
+            ids = pa.array(v, pa.binary())
+            for x, y in _cluster(np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), -1), np.array(n), np.array([number[r] for r in root]), similar, most):
+                for k in range(0, len(x), 4096):
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(x[k : k + 4096])), ids.take(pa.array(y[k : k + 4096]))], ["a", "b"])
 
         now, bucket = None, tuple([] for _ in names)
         for batch in batches:
@@ -159,35 +197,54 @@ def _led(rows: DataFrame) -> DataFrame:
     return rows.join(leads, "key").where("v != a").select("key", "a", "na", F.col("v").alias("b"), F.col("n").alias("nb"))
 
 
-def grouped(docs: DataFrame, verts: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(v, root) of every vertex that has a link."""
-    full = verts.where("n > 0")
-    led = settle(_led(full.select("v", "n", F.explode("bands").alias("key"))))
-    first = settle(led.where(F.least("na", "nb") >= F.lit(similar) * F.greatest("na", "nb")).select("a", "b").distinct())
-    who = led.select(F.col("a").alias("v")).union(led.select(F.col("b").alias("v"))).distinct()
-    items = settle(multisets(docs, verts.join(who, "v", "left_semi").select("v", "rid", "tkey")))
-    good = settle(verified(first, items, similar))
-    roots = components(good)
-    # What failed its leader, in keys that still hold different components.
-    left = led.join(good, ["a", "b"], "left_anti").select(F.col("b").alias("v"), "key").join(roots, "v", "left").select("v", "key", F.coalesce("root", "v").alias("root"))
-    mixed = left.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key", "size")
-    rest = settle(left.join(mixed, "key"))
+def _candidates(members: DataFrame, roots: DataFrame, full: DataFrame, similar: float, most: int | None) -> DataFrame:
+    """Pairs (a, b) of different components that share a key and may be alike, by `_cluster`, from members (v, key)."""
+    held = members.join(roots, "v", "left").select("v", "key", F.coalesce("root", "v").alias("root"))
+    mixed = held.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key", "size")
+    rest = settle(held.join(mixed, "key"))
     small = rest.where(F.col("size") <= BUCKET).select("key", "v", "root")
     # A vertex of a large bucket takes part once for each of its other bands, in buckets of twice the rows.
     large = rest.where(F.col("size") > BUCKET).join(full.select("v", "bands"), "v").select("v", "root", F.col("key").alias("k1"), F.explode("bands").alias("k2"))
     large = large.where("k1 != k2").select(F.xxhash64(F.least("k1", "k2"), F.greatest("k1", "k2")).alias("key"), "v", "root").distinct()
     dealt = small.union(large).join(full.select("v", "n", "sig"), "v").repartition("key").sortWithinPartitions("key", "v")
-    pairs = dealt.select("key", "v", "n", "sig", "root").mapInArrow(_cluster_buckets(similar), "a binary, b binary")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = verified(settle(pairs), items, similar)
+    pairs = dealt.select("key", "v", "n", "sig", "root").mapInArrow(_cluster_buckets(similar, most), "a binary, b binary")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(v, root) when the components of `roots` that `links` (a, b) connect are one."""
     to_a, to_b = roots.select(F.col("v").alias("a"), F.col("root").alias("x")), roots.select(F.col("v").alias("b"), F.col("root").alias("y"))
-    across = second.join(to_a, "a", "left").join(to_b, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+    across = links.join(to_a, "a", "left").join(to_b, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
     across = settle(across.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     if across.isEmpty():
         return roots
     more = components(across)
     every = roots.unionByName(more.join(roots, "v", "left_anti").select("v", F.col("v").alias("root")))
-    return every.join(more.select(F.col("v").alias("root"), F.col("root").alias("to")), "root", "left").select("v", F.coalesce("to", "root").alias("root"))
+    return settle(every.join(more.select(F.col("v").alias("root"), F.col("root").alias("to")), "root", "left").select("v", F.coalesce("to", "root").alias("root")))
+
+
+def grouped(docs: DataFrame, verts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(v, root) of every vertex that has a link."""
+    full = verts.where("n > 0")
+    led = settle(_led(full.select("v", "n", F.explode("bands").alias("key"))))
+    first = settle(led.where(F.least("na", "nb") >= F.lit(similar) * F.greatest("na", "nb")).select("a", "b").distinct())
+    who = led.select(F.col("a").alias("v")).union(led.select(F.col("b").alias("v"))).distinct()
+    items = settle(multisets(docs, verts.join(who, "v", "left_semi").select("v", "rid", "tkey")))
+    good = settle(verified(first, items, similar))
+    roots = components(good)
+    tested = first
+    members = led.select(F.col("b").alias("v"), "key").union(led.select(F.col("a").alias("v"), "key").distinct())
+    for most in ROUNDS:
+        pairs = settle(_candidates(members, roots, full, similar, most))
+        fresh = settle(pairs.join(tested, ["a", "b"], "left_anti"))
+        roots = _joined(roots, verified(fresh, items, similar))
+        if most is None or pairs.isEmpty():
+            return roots
+        # A row without any candidate in another component has none later, when components are larger.
+        tested = tested.union(fresh)
+        who = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
+        members = members.join(who, "v", "left_semi")
+    return roots
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -169,6 +169,22 @@ def test_large_buckets_are_split(spark, monkeypatch):
     test_near_copies(spark)
 
 
+@pytest.mark.parametrize("copies", [40, 300])
+def test_original_joins_its_copies(spark, copies):
+    """Copies that are alike to one original at 0.82 to 0.88, and less than 0.8 to each other."""
+    r = np.random.default_rng(copies)
+    base = [f"w{k}" for k in r.integers(0, 10**6, 400)]
+    texts = [" ".join(base)]
+    for c in range(copies):
+        own = list(base)
+        for at in r.choice(78, 5 + c % 3, replace=False):
+            own[5 * int(at) + 5] = f"c{c}x{at}"
+        texts.append(" ".join(own))
+    rows = [(k, t, "a") for k, t in enumerate(texts)]
+    assert len(set(brute_classes(rows))) == 1
+    assert {x["class_id"] for x in near_dedup.classes(table(spark, rows)).collect()} == {0}
+
+
 def test_signatures_are_unbiased():
     r = np.random.default_rng(0)
     estimates, truth = [], []
