@@ -7,7 +7,7 @@
    vertex and key. Then all rows of a key, those that passed too, are held against its rows of other components by
    signatures, and those within MARGIN (3.6 standard errors) of the threshold are candidates. Rounds take the likest few
    of each row first and contract what is verified; the last takes all candidates that are left. Buckets of more than
-   BUCKET rows are first split by a second band. No key is dropped or capped.
+   BUCKET rows are cut into parts, and every part meets every other, so one shared key is enough at any size.
 3. Candidates are verified exactly: the overlap of the multisets over their union is 0.8 or more.
 4. Verified links are contracted to components, whose least doc_id is the class.
 
@@ -35,7 +35,7 @@ SIMILAR = 0.8
 BATCH = 1 << 19
 #: How far below the threshold a signature's estimate may lie for a candidate.
 MARGIN = 0.12
-#: Rows in a bucket that are clustered together before it is split by a second band.
+#: Rows in a bucket that are held against each other before it is cut into parts of about this size.
 BUCKET = 2048
 #: Candidates that a row names in each round; the last round takes all that are still of different components.
 ROUNDS = (2, 16, None)
@@ -202,11 +202,11 @@ def _candidates(members: DataFrame, roots: DataFrame, full: DataFrame, similar:
     held = members.join(roots, "v", "left").select("v", "key", F.coalesce("root", "v").alias("root"))
     mixed = held.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key", "size")
     rest = settle(held.join(mixed, "key"))
-    small = rest.where(F.col("size") <= BUCKET).select("key", "v", "root")
-    # A vertex of a large bucket takes part once for each of its other bands, in buckets of twice the rows.
-    large = rest.where(F.col("size") > BUCKET).join(full.select("v", "bands"), "v").select("v", "root", F.col("key").alias("k1"), F.explode("bands").alias("k2"))
-    large = large.where("k1 != k2").select(F.xxhash64(F.least("k1", "k2"), F.greatest("k1", "k2")).alias("key"), "v", "root").distinct()
-    dealt = small.union(large).join(full.select("v", "n", "sig"), "v").repartition("key").sortWithinPartitions("key", "v")
+    # A large bucket is cut into parts, and each pair of parts meets in a bucket of its own.
+    cut = rest.withColumn("parts", F.ceil(F.col("size") / BUCKET)).withColumn("p", F.pmod(F.xxhash64("v"), "parts"))
+    cut = cut.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("p != q or parts = 1")
+    cut = cut.select("v", "root", F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("p", "q"), F.greatest("p", "q"))).alias("key"))
+    dealt = cut.join(full.select("v", "n", "sig"), "v").repartition("key").sortWithinPartitions("key", "v")
     pairs = dealt.select("key", "v", "n", "sig", "root").mapInArrow(_cluster_buckets(similar, most), "a binary, b binary")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

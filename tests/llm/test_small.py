@@ -185,6 +185,20 @@ def test_original_joins_its_copies(spark, copies):
     assert {x["class_id"] for x in near_dedup.classes(table(spark, rows)).collect()} == {0}
 
 
+def test_one_shared_band_is_enough_in_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BUCKET", 2)
+    r = np.random.default_rng(6)
+    sigs = r.integers(0, 256, (9, bagminhash.SLOTS)).astype(np.uint8)
+    sigs[7] = sigs[2]
+    rows = [(bytes([k]), 100, s.tobytes(), [1, 100 + k]) for k, s in enumerate(sigs)]  # key 1 is all that any two share
+    full = spark.createDataFrame(rows, "v binary, n long, sig binary, bands array<long>")
+    members = full.select("v", F.explode("bands").alias("key"))
+    roots = spark.createDataFrame([], "v binary, root binary")
+    for most in near_dedup.ROUNDS:
+        got = near_dedup._candidates(members, roots, full, 0.8, most).collect()
+        assert [(x["a"], x["b"]) for x in got] == [(bytes([2]), bytes([7]))]
+
+
 def test_signatures_are_unbiased():
     r = np.random.default_rng(0)
     estimates, truth = [], []
