@@ -19,6 +19,10 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 FENCES = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "tbody": ("table",), "tfoot": ("table",)}
 
 
+#: Pages that a page is aligned with.
+PARTNERS = 5
+
+
 class Node:
     """An element, or a text (tag "#text")."""
 
@@ -27,7 +31,7 @@ class Node:
     def __init__(self, tag: str, attributes: str = "", text: str = "") -> None:
         self.tag, self.attributes, self.text = tag, attributes, text
         self.children: list[Node] = []
-        self.shape, self.size, self.constant = None, 1, False
+        self.shape, self.size, self.constant = None, 1, 0
 
     def get(self, *names: str) -> str:
         """Values of these attributes, joined by a space."""
@@ -177,19 +181,35 @@ def texts(node: Node) -> list[Node]:
     return out
 
 
-def induce(trees: list[Node]) -> None:
-    """Mark the constant text nodes of same-host pages: those that are equal to their partner on a page which otherwise differs.
+def _copies(a: dict[str, int], b: dict[str, int]) -> bool:
+    """Whether four fifths of the characters of the shorter slot are in equal text nodes."""
+    least = min(sum(a.values()), sum(b.values()))
+    return least > 0 and sum(a[t] for t in a.keys() & b.keys()) >= 0.8 * least
+
+
+def induce(trees: list[Node], slots: list[list[Node]] | None = None) -> None:
+    """Mark the constant text nodes of same-host pages: those that are equal to their partners on most of the pages a page is aligned with.
 
-    Each page is aligned with the next page of other content, cyclically. A page most of whose texts are equal to its
-    partner's is a copy of it and says nothing about the template, so the search goes on to the next.
+    Each page is aligned with the next PARTNERS pages of other content, cyclically. A page of equal texts is a copy and says nothing
+    about the template, nor does one whose named slot (`slots`, by page) is nearly the same; the search goes on past them over
+    all pages. `constant` is the number of partners that agree.
     """
-    words = [{t.text.strip() for t in texts(tree)} for tree in trees]
+    whole = [tuple(t.text.strip() for t in texts(tree)) for tree in trees]
+    inner = [{t.text.strip(): len(t.text.strip()) for root in (slots[k] if slots else ()) for t in texts(root)} for k in range(len(trees))]
     for i, tree in enumerate(trees):
-        for step in range(1, min(len(trees), 6)):
+        votes: dict[int, int] = {}
+        seen, partners = {whole[i]}, 0
+        for step in range(1, len(trees)):
             j = (i + step) % len(trees)
-            if 2 * len(words[i] & words[j]) > min(len(words[i]), len(words[j])):
+            if not whole[j] or whole[j] in seen or _copies(inner[i], inner[j]):
                 continue
+            seen.add(whole[j])
+            partners += 1
             for x, y in align(tree, trees[j]):
                 if x.tag == "#text" and x.text.strip() and x.text.strip() == y.text.strip():
-                    x.constant = True
-            break
+                    votes[id(x)] = votes.get(id(x), 0) + 1
+            if partners == PARTNERS:
+                break
+        for x in texts(tree):
+            n = votes.get(id(x), 0)
+            x.constant = n if 2 * n > partners else 0

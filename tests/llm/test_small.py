@@ -375,6 +375,29 @@ def test_tree_matching():
     assert html_extraction.main_text(trees[1]).split("\n\n") == ["b", "story b", "more story b"]
 
 
+def induced(pages):
+    trees, shapes = [html_tree.parse(p) for p in pages], {}
+    for t in trees:
+        html_tree.measure(t, shapes)
+    html_tree.induce(trees)
+    return [[x.text.strip() for x in html_tree.texts(t) if x.constant] for t in trees]
+
+
+def test_induction_over_several_partners():
+    menu = "".join(f"<li>menu {k}" for k in range(20))
+    page = lambda body: f"<body><ul>{menu}</ul><div>{''.join(f'<p>{x}' for x in body)}</div><div>All rights reserved</div></body>"
+    template = [f"menu {k}" for k in range(20)] + ["All rights reserved"]
+    own = lambda k: [f"story {k} part {n}" for n in range(5)]
+    # the menu has most texts of a page
+    assert induced([page(own(k)) for k in range(6)]) == [template] * 6
+    # copies stand between a page and its partners
+    assert induced([page(own(0))] * 9 + [page(own(k)) for k in (1, 2)]) == [template] * 11
+    # a passage that two pages share is no template, and a template text may be absent from one page
+    shared = [page(["shared passage", *own(k)[1:]]) if k < 2 else page(own(k)) for k in range(5)]
+    shared[4] = shared[4].replace("All rights reserved", "")
+    assert induced(shared) == [template] * 4 + [template[:-1]]
+
+
 def brute_weight(a, b):
     if a.tag != b.tag:
         return 0
