@@ -1,9 +1,9 @@
 """Main text of pages by wrapper induction over the pages of a host.
 
 Pages are dealt to groups of one host, large hosts to many groups by a digest of the page, so no task holds a host. In
-a group, page trees are aligned by simple tree matching: constant text nodes are the host's template, varying slots
-are content. A page's article, where its markup names one, is its content slot as a whole; otherwise what is left of the body when
-template nodes, link lists and sections for menus, notices, adverts, forms or comments are taken away.
+a group, each page tree is aligned with several others by simple tree matching: text nodes that are constant on most of
+them are the host's template, varying slots are content. A page's article, where its markup names one, is its content slot
+without template nodes if it holds most of what varies; otherwise what is left of the body when template nodes, link lists and sections for menus, notices, adverts, forms or comments are taken away.
 
 Null html gives an empty text. A null url is a host of its own. Every row gives a row, repeated rows too. An empty table gives
 an empty result; only page_id, url and html are read, so extra columns never clash.
@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import maybe_broadcast, settle
-from quern.llm.html_tree import BLOCK, Node, induce, measure, parse
+from quern.llm.html_tree import BLOCK, Node, induce, measure, parse, texts
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 #: Pages aligned in one group, about.
 GROUP = 64
+#: Partners on which a node of a named article must be constant to be template.
+SEVERAL = 2
 #: Hosts beyond this many are joined by a shuffle, not broadcast.
 BROADCAST_HOSTS = 50_000
 #: Fixed lists: elements and sections that are never main text.
@@ -67,8 +69,8 @@ def outermost(root: Node, wanted) -> list[Node]:
     return out
 
 
-def blocks(roots: list[Node], template: bool) -> list[str]:
-    """Texts of blocks in page order; with `template`, constant nodes are left out."""
+def blocks(roots: list[Node], agreed: int, inside: bool) -> list[str]:
+    """Texts of blocks in page order, without nodes that are constant on `agreed` partners or more; `inside` an article headers stay."""
     out: list[str] = []
     now: list[str] = []
 
@@ -86,9 +88,9 @@ def blocks(roots: list[Node], template: bool) -> list[str]:
             if x is None:
                 cut()
             elif x.tag == "#text":
-                if not (template and x.constant):
+                if x.constant < agreed:
                     now.append(x.text)
-            elif x is not root and dropped(x, not template):
+            elif x is not root and dropped(x, inside):
                 if x.tag in BLOCK:
                     cut()
             elif x.tag in ("br", "td", "th", "img", "wbr"):
@@ -119,17 +121,30 @@ def link_list(node: Node) -> bool:
     return total > 0 and linked > 0.7 * total
 
 
+def named_slot(root: Node) -> list[Node]:
+    """Elements that the markup names as the article, or else as the main part."""
+    return outermost(root, is_article) or outermost(root, is_main)
+
+
 def main_text(root: Node) -> str:
-    found = outermost(root, is_article) or outermost(root, is_main)
-    if found:
-        return "\n\n".join(blocks(found, template=False))
+    """What varies in the named slot if that holds most of what varies on the page; else all that varies in the body.
+
+    In a named slot a node must be constant on several partners to be template, so that a passage that two articles share is kept.
+    """
+    found = named_slot(root)
+    named = blocks(found, SEVERAL, True)
+    if found and not any(x.constant for x in texts(root)):
+        return "\n\n".join(named)
     body = outermost(root, lambda x: x.tag == "body") or [root]
     todo = list(body)
     while todo:
         x = todo.pop()
         x.children = [c for c in x.children if not (c.tag in ("ul", "ol", "dl", "table") and link_list(c))]
         todo += x.children
-    return "\n\n".join(blocks(body, template=True))
+    rest = blocks(body, 1, False)
+    if found and 2 * sum(map(len, named)) >= sum(map(len, rest)):
+        rest = named
+    return "\n\n".join(rest)
 
 
 def extract_group(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -138,7 +153,7 @@ def extract_group(pdf: pd.DataFrame) -> pd.DataFrame:
     trees, shapes = [parse(h or "") for h in pdf["html"]], {}
     for t in trees:
         measure(t, shapes)
-    induce(trees)
+    induce(trees, [named_slot(t) for t in trees])
     text = [main_text(t) for t in trees]
     return pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
 

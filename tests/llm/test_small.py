@@ -398,6 +398,19 @@ def test_induction_over_several_partners():
     assert induced(shared) == [template] * 4 + [template[:-1]]
 
 
+def test_named_articles_follow_the_induction(spark):
+    got = lambda pages: [r["text"] for r in html_extraction.extract(spark.createDataFrame([(k, f"http://a.com/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string")).orderBy("page_id").collect()]
+    story = lambda k: " ".join(f"s{k}w{n}" for n in range(40))
+    # a notice without a telling class in every article
+    assert got([f"<body><article><h1>Title {k}</h1><p>{story(k)}</p><div>Get our paper by mail</div></article></body>" for k in range(4)]) == [f"Title {k}\n\n{story(k)}" for k in range(4)]
+    # the article element is a teaser, and the text is beside it
+    assert got([f"<body><p>Home</p><article>Read {k}</article><div><p>{story(k)}</p></div></body>" for k in range(4)]) == [f"Read {k}\n\n{story(k)}" for k in range(4)]
+    # near copies of an article are no partners of each other
+    long = [f"paragraph {n} of a long story" for n in range(9)]
+    pages = ["<body><article>" + "".join(f"<p>{x}</p>" for x in [*long, f"edit {k}"]) + "</article></body>" for k in range(4)]
+    assert got(pages) == ["\n\n".join([*long, f"edit {k}"]) for k in range(4)]
+
+
 def brute_weight(a, b):
     if a.tag != b.tag:
         return 0
