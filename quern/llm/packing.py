@@ -69,6 +69,8 @@ class WordTokenizer:
         self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint16)
         self.used = 0
+        #: Piece k of the index is flat[bounds[k] : bounds[k + 1]].
+        self.bounds = np.zeros(1 << 16, np.int64)
 
     def learn(self, pieces: list[str]) -> None:
         """Encode new pieces: split them by the file's pattern, and let the library's model merge each word."""
@@ -81,7 +83,11 @@ class WordTokenizer:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.index.update((p, self.used + a << 16 | b - a) for p, a, b in zip(pieces, cuts, cuts[1:]))
+        known = len(self.index)
+        while known + len(cuts) > len(self.bounds):
+            self.bounds = np.concatenate((self.bounds, np.zeros_like(self.bounds)))
+        self.bounds[known : known + len(cuts)] = np.array(cuts) + self.used
+        self.index.update(zip(pieces, range(known, known + len(pieces))))
         self.used += len(ids)
 
     def plain(self, text: str) -> bool:
@@ -95,7 +101,7 @@ class WordTokenizer:
         flat = list(itertools.chain.from_iterable(pieces))
         self.learn(list(set(flat).difference(self.index)))
         at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
-        first, n = at >> 16, at & 0xFFFF
+        first, n = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
         upto = np.concatenate(([0], np.cumsum(n)))
         ids = self.flat[np.repeat(first - upto[:-1], n) + np.arange(int(upto[-1]))]
         cuts = upto[np.cumsum([0] + [len(p) for p in pieces])]

@@ -251,6 +251,17 @@ def test_packing(spark, edge, empty):
         assert p["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_long_run_without_white_space():
+    path = token_counts.vocabulary("word_bpe_49k.json")
+    tok = packing.WordTokenizer(path)
+    r = np.random.default_rng(8)
+    run = "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz0123456789+/"), 300_000))
+    texts = ["one two " + run + " three", "two three", run]
+    for got, t in zip(tok.encode(texts), texts):
+        assert got.tolist() == tok.library.encode(t, add_special_tokens=False).ids
+    assert len(got) > 1 << 16
+
+
 def test_retrieval_finds_neighbours():
     r = np.random.default_rng(2)
     topics = [np.arange(k * 100, k * 100 + 100) for k in range(5)]
