@@ -3,17 +3,22 @@
 1. One pass over the texts makes, for each document, a digest of its shingle multiset, its size and its
    band keys. Documents with equal multisets form a vertex; from here on copies cost nothing.
 2. Vertices that share a band key are candidates. Each key's least vertex leads, and every other vertex of
-   the key is verified against the leader. That settles groups of near copies of any size with a pair per
-   vertex and key. Then all rows of a key, those that passed too, are held against its rows of other components by
-   signatures, and those within MARGIN (3.6 standard errors) of the threshold are candidates. Rounds take the likest few
-   of each row first and contract what is verified; the last takes all candidates that are left. Buckets of more than
-   BUCKET rows are cut into parts, and every part meets every other, so one shared key is enough at any size.
-3. Candidates are verified exactly: the overlap of the multisets over their union is 0.8 or more.
-4. Verified links are contracted to components, whose least doc_id is the class.
+   the key is verified against the leader by exact multiset overlap, 0.8 or more. That settles groups of near copies of any
+   size with a pair per vertex and key.
+3. Verified links are contracted to components. A key whose rows are of one component is settled. In every other key,
+   rows are held against its rows of other components by signatures, and those within MARGIN (3.6 standard errors)
+   of the threshold are verified exactly where they meet, likest first, unless they have become one component meanwhile.
+   So a task returns fewer links than it has rows, and no candidate pair is ever written. Bands are taken in the
+   groups of GROUPS, with a contraction after each, which leaves few mixed keys for the later ones.
+4. In a mixed key the largest component's rows are cut into parts, and so are all others; parts of the first meet parts of the
+   others, and the others meet each other. So a row of a hot key is copied once for each part of the others,
+   and one shared key is enough at any size.
+5. The least doc_id of a component is its class.
 
 Leaders, fingerprints and links stay distributed. Null texts count as empty. Texts without a word are
 alike only if they are equal. Rows without an id join classes but never name one unless all of its
-rows lack ids. Rows that repeat an id are one document. An empty table gives an empty result;
+rows lack ids. Every row is a document, also one that repeats an id; of each class exactly one row is kept, the one with the
+least id, then the least digest of its text. An empty table gives an empty result;
 extra columns of any name pass through `drop_near_copies`.
 """
 
@@ -28,22 +33,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import bagminhash as B
-from quern.llm.common import release_memory, settle, text_or_empty, text_slices
+from quern.llm.common import maybe_broadcast, release_memory, settle, text_or_empty, text_slices
 
 SIMILAR = 0.8
 #: Bytes of text whose shingles are held at once.
 BATCH = 1 << 19
 #: How far below the threshold a signature's estimate may lie for a candidate.
 MARGIN = 0.12
-#: Rows in a bucket that are held against each other before it is cut into parts of about this size.
-BUCKET = 2048
-#: Candidates that a row names in each round; the last round takes all that are still of different components.
-ROUNDS = (2, 16, None)
+#: Rows, and shingles of rows, in a part of a mixed key.
+BUCKET, PART_ITEMS = 2048, 2_000_000
+#: Bands that are settled together, in order; every band is in one group.
+GROUPS = (range(0, 3), range(3, 10), range(10, B.BANDS))
+#: Candidate pairs of a block beyond which overlaps are counted by one matrix product.
+MANY = 2000
+#: Mixed keys beyond this many are joined by a shuffle, not broadcast.
+BROADCAST_KEYS = 50_000
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        column, ids, keys = batch.column("text"), batch.column("doc_id"), batch.column("tkey")
+        column, kept = batch.column("text"), [batch.column(c) for c in ("doc_id", "tkey", "uid")]
         for a, b in text_slices(column, BATCH):
             texts = column.slice(a, b - a).to_pylist()
             doc, h, count = B.shingles(texts)
@@ -57,14 +66,19 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ]
             offsets = np.concatenate(([0], np.cumsum(np.where(size > 0, B.BANDS, 0)))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(a, b - a), keys.slice(a, b - a), pa.array(digests, pa.binary()), pa.array(size), pa.array([r.tobytes() for r in bytes_], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(bands[size > 0].reshape(-1)))],
-                ["doc_id", "tkey", "v", "n", "sig", "bands"],
+                [*(c.slice(a, b - a) for c in kept), pa.array(digests, pa.binary()), pa.array(size), pa.array([r.tobytes() for r in bytes_], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(bands[size > 0].reshape(-1)))],
+                ["doc_id", "tkey", "uid", "v", "n", "sig", "bands"],
             )
     release_memory()
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = None
     for batch in batches:
+        # The join brings rows that repeat id and text one after another; the first is enough.
+        own = batch.column("v").to_pylist()
+        batch = batch.take(pa.array([k for k, x in enumerate(own) if x != (own[k - 1] if k else seen)], pa.int64()))
+        seen = own[-1] if own else seen
         column, v = batch.column("text"), batch.column("v")
         for a, b in text_slices(column, BATCH):
             doc, h, count = B.shingles(column.slice(a, b - a).to_pylist())
@@ -76,17 +90,17 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, tkey, v, n, sig, bands) of every document: v is its vertex, tkey a digest of its text."""
-    t = docs.select("doc_id", text_or_empty().alias("text")).withColumn("tkey", F.unhex(F.md5("text")))
+    """(doc_id, tkey, uid, v, n, sig, bands) of every row: v is its vertex, tkey a digest of its text, uid tells fully repeated rows apart."""
+    t = docs.select("doc_id", text_or_empty().alias("text")).withColumn("tkey", F.unhex(F.md5("text"))).withColumn("uid", F.monotonically_increasing_id())
     kind = dict(docs.dtypes)["doc_id"]
-    return settle(t.mapInArrow(_sign, f"doc_id {kind}, tkey binary, v binary, n long, sig binary, bands array<long>"))
+    return settle(t.mapInArrow(_sign, f"doc_id {kind}, tkey binary, uid long, v binary, n long, sig binary, bands array<long>"))
 
 
 def vertices(base: DataFrame) -> DataFrame:
-    """One row per vertex: v, n, sig, bands, copies, rid (least id) and the tkey of that row."""
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "tkey"))
+    """One row per vertex: v, n, sig, bands, copies, and rid (least id), tkey and uid of its first row."""
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "tkey", "uid"))
     t = base.groupBy("v").agg(one.alias("one"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    return settle(t.select("v", "n", "sig", "bands", "copies", F.col("one.doc_id").alias("rid"), F.col("one.tkey").alias("tkey")))
+    return settle(t.select("v", "n", "sig", "bands", "copies", F.col("one.doc_id").alias("rid"), F.col("one.tkey").alias("tkey"), F.col("one.uid").alias("uid")))
 
 
 def multisets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -104,13 +118,53 @@ def verified(pairs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> Da
     return both.select("a", "b", common.alias("common"), (F.size("ia") + F.size("ib")).alias("both")).where(F.col("common") >= F.lit(similar) * (F.col("both") - F.col("common"))).select("a", "b").distinct()
 
 
-def _cluster(sig: np.ndarray, size: np.ndarray, root: np.ndarray, similar: float, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of different roots whose signatures agree up to MARGIN: all of them, each once, or those of each row with its `most` likest.
+class _Forest:
+    """Components of rows, by union to the least number."""
+
+    def __init__(self, root: np.ndarray) -> None:
+        self.up = np.arange(int(root.max(initial=-1)) + 1)
+        self.root = root
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        x = self.root[rows]
+        while True:
+            y = self.up[x]
+            if (x == y).all():
+                return x
+            x = y
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether two rows were of different components, which are one now."""
+        x, y = (int(self.of(np.array([k]))[0]) for k in (a, b))
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _overlaps(items: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Size of the multiset overlap of each left with each right row, by matrix products over the elements that both sides hold."""
+    a, b = [items[k] for k in left], [items[k] for k in right]
+    known = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    out = np.zeros((len(left), len(right)), np.float32)
+    at = [[np.searchsorted(known, np.intersect1d(x, known, assume_unique=True)) for x in side] for side in (a, b)]
+    for c in range(0, len(known), 4096):
+        dense = []
+        for side in at:
+            m = np.zeros((len(side), min(4096, len(known) - c)), np.float32)
+            for k, x in enumerate(side):
+                m[k, x[np.searchsorted(x, c) : np.searchsorted(x, c + 4096)] - c] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out.astype(np.int64)
+
+
+def _links(sig: np.ndarray, items: list[np.ndarray], root: np.ndarray, similar: float) -> Iterator[tuple[int, int]]:
+    """Verified links between rows of different roots that make one component of all rows so linked; fewer than there are roots.
 
     Every row is held against every row of another root. Equal slots are counted over three bits of a slot first, which
-    never counts too few, and then over whole slots.
+    never counts too few, and then over whole slots; pairs within MARGIN are verified exactly.
     """
     rows, slots = sig.shape
+    size = np.array([len(x) for x in items])
     need = int(np.ceil(slots * ((similar - MARGIN) * (1 - 1 / 256) + 1 / 256) - 1e-9))
     width = -(-slots // 64) * 8
     planes = []
@@ -118,72 +172,65 @@ def _cluster(sig: np.ndarray, size: np.ndarray, root: np.ndarray, similar: float
         packed = np.zeros((rows, width), np.uint8)
         packed[:, : -(-slots // 8)] = np.packbits(sig >> bit & 1, axis=1)
         planes.append(packed.view(np.uint64))
-    order = np.argsort(root, kind="stable")
-    ends = np.append(np.flatnonzero(np.diff(root[order])) + 1, rows)
-    a = 0
-    while a < rows:
-        end = int(ends[np.searchsorted(ends, a, "right")])
-        b = min(a + 128, end if end - a > 128 else rows)
-        left = order[a:b]
-        # Rows of one root alone are not held against others of that root.
-        if most is not None:
-            against = order[root[order] != root[left[0]]] if b <= end else order
-        else:
-            against = order[end if b <= end else a :]
-        best = (np.zeros(0, np.int64),) * 3
-        for c in range(0, len(against), 2048):
-            right = against[c : c + 2048]
+    forest = _Forest(root)
+    # The largest root's rows come last, so that they are never on the left side.
+    order = np.argsort(np.bincount(root)[root] * (int(root.max()) + 1) + root, kind="stable")
+    last = rows - int((root == root[order[-1]]).sum())
+    for a in range(0, last, 128):
+        left = order[a : min(a + 128, last)]
+        for c in range(a, rows, 2048):
+            right = order[c : c + 2048]
             unlike = np.zeros((len(left), len(right)), np.uint8)
             for w in range(width // 8):
                 off = planes[0][left, w][:, None] ^ planes[0][right, w][None, :]
                 for plane in planes[1:]:
                     off |= plane[left, w][:, None] ^ plane[right, w][None, :]
                 unlike += np.bitwise_count(off)
-            i, j = np.nonzero(unlike <= slots - need)
+            i, j = np.nonzero((unlike <= slots - need) & (np.arange(a, a + len(left))[:, None] < np.arange(c, c + len(right))[None, :]))
             x, y = left[i], right[j]
-            near = (root[x] != root[y]) & (np.minimum(size[x], size[y]) >= similar * np.maximum(size[x], size[y]))
-            if most is None:
-                near &= (x < y) | (j + c >= b - a if b > end else True)
-            x, y = x[near], y[near]
-            for k in range(0, len(x), 1 << 16):
-                u, v = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
-                equal = (sig[u] == sig[v]).sum(axis=1)
-                u, v, equal = u[equal >= need], v[equal >= need], equal[equal >= need]
-                if most is None:
-                    yield u, v
-                    continue
-                u, v, equal = (np.concatenate(z) for z in zip(best, (u, v, equal)))
-                by = np.lexsort((v, -equal, u))
-                first = np.searchsorted(u[by], u[by])
-                by = by[np.arange(len(by)) - first < most]
-                best = u[by], v[by], equal[by]
-        if most is not None and len(best[0]):
-            yield best[:2]
-        a = b
-
-
-def _cluster_buckets(similar: float, most: int | None):
-    """Over rows (key, v, n, sig, root) that are sorted by key: the pairs (a, b) of `_cluster` in each key."""
+            near = np.minimum(size[x], size[y]) >= similar * np.maximum(size[x], size[y])
+            near[near] = forest.of(x[near]) != forest.of(y[near])
+            i, j, x, y = i[near], j[near], x[near], y[near]
+            equal = np.concatenate([np.zeros(0, np.int64), *((sig[x[k : k + 65536]] == sig[y[k : k + 65536]]).sum(axis=1) for k in range(0, len(x), 65536))])
+            by = np.argsort(-equal, kind="stable")
+            by = by[equal[by] >= need]
+            i, j, x, y = i[by], j[by], x[by], y[by]
+            if len(x) > MANY:
+                common = _overlaps(items, left, right)[i, j]
+                good = common >= similar * (size[x] + size[y] - common)
+                for p, q in zip(x[good].tolist(), y[good].tolist()):
+                    if forest.join(p, q):
+                        yield p, q
+                continue
+            for k in range(0, len(x), 64):
+                now = forest.of(x[k : k + 64]) != forest.of(y[k : k + 64])
+                for p, q in zip(x[k : k + 64][now].tolist(), y[k : k + 64][now].tolist()):
+                    common = len(np.intersect1d(items[p], items[q], assume_unique=True))
+                    if common >= similar * (size[p] + size[q] - common) and forest.join(p, q):
+                        yield p, q
+
+
+def _link_buckets(similar: float):
+    """Over rows (key, v, sig, root, items) that are sorted by key: the links (a, b) of `_links` in each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("v", "n", "sig", "root")
-
-        def done(v: list, n: list, sig: list, root: list) -> Iterator[pa.RecordBatch]:
+        def done(v: list, sig: list, root: list, items: list) -> Iterator[pa.RecordBatch]:
             if len(set(root)) < 2:
                 return
             number = {r: k for k, r in enumerate(dict.fromkeys(root))}
-            ids = pa.array(v, pa.binary())
-            for x, y in _cluster(np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), -1), np.array(n), np.array([number[r] for r in root]), similar, most):
-                for k in range(0, len(x), 4096):
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(x[k : k + 4096])), ids.take(pa.array(y[k : k + 4096]))], ["a", "b"])
+            found = list(_links(np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), -1), items, np.array([number[r] for r in root]), similar))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([v[k] for k in side], pa.binary()) for side in zip(*found)], ["a", "b"])
 
-        now, bucket = None, tuple([] for _ in names)
+        now, bucket = None, ([], [], [], [])
         for batch in batches:
-            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", *names))):
+            column = batch.column("items")
+            cut, flat = column.offsets.to_numpy(), column.values.to_numpy()
+            for at, (key, *row) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "v", "sig", "root")))):
                 if key != now:
                     yield from done(*bucket)
-                    now, bucket = key, tuple([] for _ in names)
-                for to, x in zip(bucket, row):
+                    now, bucket = key, ([], [], [], [])
+                for to, x in zip(bucket, (*row, flat[cut[at] : cut[at + 1]].copy())):
                     to.append(x)
         yield from done(*bucket)
         release_memory()
@@ -197,18 +244,28 @@ def _led(rows: DataFrame) -> DataFrame:
     return rows.join(leads, "key").where("v != a").select("key", "a", "na", F.col("v").alias("b"), F.col("n").alias("nb"))
 
 
-def _candidates(members: DataFrame, roots: DataFrame, full: DataFrame, similar: float, most: int | None) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and may be alike, by `_cluster`, from members (v, key)."""
-    held = members.join(roots, "v", "left").select("v", "key", F.coalesce("root", "v").alias("root"))
-    mixed = held.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key", "size")
-    rest = settle(held.join(mixed, "key"))
-    # A large bucket is cut into parts, and each pair of parts meets in a bucket of its own.
-    cut = rest.withColumn("parts", F.ceil(F.col("size") / BUCKET)).withColumn("p", F.pmod(F.xxhash64("v"), "parts"))
-    cut = cut.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("p != q or parts = 1")
-    cut = cut.select("v", "root", F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("p", "q"), F.greatest("p", "q"))).alias("key"))
-    dealt = cut.join(full.select("v", "n", "sig"), "v").repartition("key").sortWithinPartitions("key", "v")
-    pairs = dealt.select("key", "v", "n", "sig", "root").mapInArrow(_cluster_buckets(similar, most), "a binary, b binary")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(v, key, root, main, rows, others, parts of both) of the keys of `members` (v, key, n) whose rows are of several components."""
+    held = members.join(roots, "v", "left").select("v", "key", "n", F.coalesce("root", "v").alias("root"))
+    by_root = held.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    keys = by_root.groupBy("key").agg(F.max(F.struct("c", "root", "w")).alias("top"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.count("*").alias("roots")).where("roots > 1")
+    parts = lambda rows, items: F.ceil(F.greatest(rows / BUCKET, items / PART_ITEMS)).cast("long")
+    keys = keys.select("key", F.col("top.root").alias("main"), parts(F.col("top.c"), F.col("top.w")).alias("main_parts"), parts(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w")).alias("other_parts"))
+    keys = settle(keys)
+    return held.select("v", "key", "root").join(maybe_broadcast(keys, keys.count(), BROADCAST_KEYS), "key")
+
+
+def _dealt(mixed: DataFrame) -> DataFrame:
+    """(v, key, root): rows of mixed keys, each in every bucket where it meets rows of other components."""
+    own = lambda n: F.pmod(F.xxhash64("v"), F.greatest(F.col(n), F.lit(1)))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    at = lambda kind, p, q: F.xxhash64("key", F.lit(kind), p, q).alias("key")
+    main = mixed.where("root = main").select("*", own("main_parts").alias("p"), upto("other_parts").alias("q")).select("v", at("main", F.col("p"), F.col("q")), "root")
+    other = mixed.where("root != main").withColumn("q", own("other_parts"))
+    beside = other.select("*", upto("main_parts").alias("p")).select("v", at("main", F.col("p"), F.col("q")), "root")
+    # Others of one part meet in the buckets above.
+    among = other.where("other_parts > 1").select("*", upto("other_parts").alias("p")).where("p != q").select("v", at("other", F.least("p", "q"), F.greatest("p", "q")), "root")
+    return main.unionByName(beside).unionByName(among)
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -229,21 +286,17 @@ def grouped(docs: DataFrame, verts: DataFrame, similar: float = SIMILAR) -> Data
     led = settle(_led(full.select("v", "n", F.explode("bands").alias("key"))))
     first = settle(led.where(F.least("na", "nb") >= F.lit(similar) * F.greatest("na", "nb")).select("a", "b").distinct())
     who = led.select(F.col("a").alias("v")).union(led.select(F.col("b").alias("v"))).distinct()
-    items = settle(multisets(docs, verts.join(who, "v", "left_semi").select("v", "rid", "tkey")))
-    good = settle(verified(first, items, similar))
-    roots = components(good)
-    tested = first
-    members = led.select(F.col("b").alias("v"), "key").union(led.select(F.col("a").alias("v"), "key").distinct())
-    for most in ROUNDS:
-        pairs = settle(_candidates(members, roots, full, similar, most))
-        fresh = settle(pairs.join(tested, ["a", "b"], "left_anti"))
-        roots = _joined(roots, verified(fresh, items, similar))
-        if most is None or pairs.isEmpty():
-            return roots
-        # A row without any candidate in another component has none later, when components are larger.
-        tested = tested.union(fresh)
-        who = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
-        members = members.join(who, "v", "left_semi")
+    shared = settle(verts.join(who, "v", "left_semi").select("v", "n", "sig", "bands", "rid", "tkey"))
+    items = settle(multisets(docs, shared.select("v", "rid", "tkey")))
+    roots = components(settle(verified(first, items, similar)))
+    for bands in GROUPS:
+        members = shared.select("v", "n", F.explode(F.slice("bands", bands.start + 1, len(bands))).alias("key"))
+        mixed = settle(_mixed(members, roots))
+        if mixed.isEmpty():
+            continue
+        dealt = _dealt(mixed).join(shared.select("v", "sig"), "v").join(items, "v").repartition("key").sortWithinPartitions("key", "v")
+        links = dealt.select("key", "v", "sig", "root", "items").mapInArrow(_link_buckets(similar), "a binary, b binary")
+        roots = _joined(roots, settle(links))
     return roots
 
 
@@ -264,18 +317,31 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """One row per document: doc_id, class_id (the least doc_id of its class), class_size, n_shingles, kept."""
+def decided(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """One row per row of `docs`: doc_id, tkey, class_id, class_size, n_shingles and kept, true once in a class."""
     base = signed(docs)
     verts = vertices(base)
     roots = grouped(docs, verts, similar)
-    of = verts.join(roots, "v", "left").select("v", "rid", "copies", F.coalesce("root", "v").alias("root"))
-    sums = of.groupBy("root").agg(F.min("rid").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = settle(of.join(sums, "root").select("v", "class_id", "class_size"))
-    return base.join(named, "v").select("doc_id", "class_id", "class_size", F.col("n").alias("n_shingles"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    of = verts.join(roots, "v", "left").select("v", "rid", "tkey", "uid", "copies", F.coalesce("root", "v").alias("root"))
+    first = F.min(F.struct(F.col("rid").isNull().alias("void"), "rid", "tkey", "uid"))
+    sums = of.groupBy("root").agg(first.alias("first"), F.sum("copies").alias("class_size"))
+    named = settle(of.join(sums, "root").select("v", F.col("first.rid").alias("class_id"), F.col("first.uid").alias("keep"), "class_size"))
+    return base.join(named, "v").select("doc_id", "tkey", "class_id", "class_size", F.col("n").alias("n_shingles"), (F.col("uid") == F.col("keep")).alias("kept"))
+
+
+def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """One row per document: doc_id, class_id (the least doc_id of its class), class_size, n_shingles, kept."""
+    return decided(docs, similar).drop("tkey")
 
 
 def drop_near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The rows of `docs` that stay: of each class the document with the least id, and rows without an id."""
-    gone = classes(docs, similar).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(settle(gone), "doc_id", "left_anti").select(docs.columns)
+    """The rows of `docs` that stay, one of each class. The decision is on rows, so another text under a dropped id stays."""
+    rows = decided(docs, similar).groupBy("doc_id", "tkey").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    keep = settle(rows.where("kept").select(F.col("doc_id").alias("keep_id"), F.col("tkey").alias("keep_tkey"), "n"))
+    own = docs.select(F.struct("*").alias("row"), "doc_id", F.unhex(F.md5(text_or_empty())).alias("tkey"))
+    same = (F.col("tkey") == F.col("keep_tkey")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    out = own.join(keep.where("n = 1"), same, "left_semi").select("row.*")
+    repeated = keep.where("n > 1")
+    if repeated.isEmpty():
+        return out
+    return out.unionByName(own.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "tkey"]).select("row.*"))

@@ -160,8 +160,17 @@ def test_near_edge(edge, empty):
     by = {r["doc_id"]: r["class_id"] for r in rows if r["doc_id"] is not None}
     assert by == {1: 1, 2: 1, 3: 3, 7: 7, 8: 7, 9: 9}
     kept = near_dedup.drop_near_copies(edge)
-    assert kept.columns == edge.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"]) == [1, 3, 3, 7, 9]
-    assert near_dedup.classes(empty).count() == 0
+    assert kept.columns == edge.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 7, 9]  # one row of each class, of repeated rows too
+    assert sorted(r["doc_id"] for r in near_dedup.classes(edge).collect() if r["kept"]) == [1, 3, 7, 9]
+    assert near_dedup.classes(empty).count() == 0 and near_dedup.drop_near_copies(empty).columns == empty.columns
+
+
+def test_near_copies_go_by_row(spark):
+    """Another text under the id of a dropped row stays; of rows that repeat id and text one stays."""
+    w = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, w, "a"), (3, w + " more", "a"), (3, "an unrelated text of its own", "a"), (3, "an unrelated text of its own", "a"), (None, "no id and no copy", "b")]
+    got = near_dedup.drop_near_copies(table(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter({(1, w): 1, (3, rows[2][1]): 1, (None, rows[4][1]): 1})
 
 
 def test_large_buckets_are_split(spark, monkeypatch):
@@ -190,13 +199,41 @@ def test_one_shared_band_is_enough_in_large_buckets(spark, monkeypatch):
     r = np.random.default_rng(6)
     sigs = r.integers(0, 256, (9, bagminhash.SLOTS)).astype(np.uint8)
     sigs[7] = sigs[2]
-    rows = [(bytes([k]), 100, s.tobytes(), [1, 100 + k]) for k, s in enumerate(sigs)]  # key 1 is all that any two share
-    full = spark.createDataFrame(rows, "v binary, n long, sig binary, bands array<long>")
-    members = full.select("v", F.explode("bands").alias("key"))
-    roots = spark.createDataFrame([], "v binary, root binary")
-    for most in near_dedup.ROUNDS:
-        got = near_dedup._candidates(members, roots, full, 0.8, most).collect()
-        assert [(x["a"], x["b"]) for x in got] == [(bytes([2]), bytes([7]))]
+    sets = [list(range(100 * k, 100 * k + 100)) for k in range(9)]
+    sets[7] = sets[2][:90]
+    rows = [(bytes([k]), len(x), s.tobytes(), x, 1) for k, (s, x) in enumerate(zip(sigs, sets))]  # all share key 1
+    full = spark.createDataFrame(rows, "v binary, n long, sig binary, items array<long>, key long")
+    same = [spark.createDataFrame([(bytes([k]), bytes([0])) for k in group], "v binary, root binary") for group in ([], [0, 1, 3, 4, 5], [0, 1, 3, 4, 5, 7])]
+    for roots in same:
+        dealt = near_dedup._dealt(near_dedup._mixed(full.select("v", "key", "n"), roots)).join(full.drop("key", "n"), "v").repartition("key").sortWithinPartitions("key", "v")
+        got = dealt.select("key", "v", "sig", "root", "items").mapInArrow(near_dedup._link_buckets(0.8), "a binary, b binary").collect()
+        assert {frozenset((x["a"], x["b"])) for x in got} == {frozenset((bytes([2]), bytes([7])))}
+
+
+@pytest.mark.parametrize("many", [0, 10**9])
+def test_links_in_a_bucket(many, monkeypatch):
+    """Either way of counting overlaps finds the components of all pairs, with fewer links than rows."""
+    monkeypatch.setattr(near_dedup, "MANY", many)
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**62, 300)
+    items = [np.sort(np.unique(np.concatenate((r.choice(base, 300 - int(k), replace=False), r.integers(0, 2**62, int(k)))))) for k in r.integers(1, 80, 300)]
+    sig = np.zeros((300, bagminhash.SLOTS), np.uint8)  # all look alike, so all are verified
+    got = list(near_dedup._links(sig, items, np.arange(300), 0.8))
+    up = list(range(300))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(300):
+        for b in range(a):
+            both = len(np.intersect1d(items[a], items[b]))
+            if both >= 0.8 * (len(items[a]) + len(items[b]) - both):
+                up[root(a)] = root(b)
+    want = [root(k) for k in range(300)]
+    assert len(got) == 300 - len(set(want)) and all(want[a] == want[b] for a, b in got)
+    assert 1 < len(set(want)) < 300
 
 
 def test_signatures_are_unbiased():
