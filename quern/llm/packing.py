@@ -1,13 +1,15 @@
 """Lexical retrieval packing into windows of fixed length.
 
-Texts are tokenised map-side. What a document has beyond whole windows of its own goes to one of many
-shards of bounded size. A shard's task builds a BM25 inverted index over its items, and fills one window
-after another: a seed document is the query, its best unused neighbours follow in order of score, and the
-first that doesn't fit is cut; its rest seeds the next window. So only a shard's last window is short, and
-that is cut at powers of two, which need no padding.
-
-The number of shards follows from the length of all texts; items are dealt to shards by a digest of their
-id, place and content, so that a lost task that runs again deals alike. Null texts count as empty: they are the end token alone. A
+Texts are tokenised map-side, and what a document has beyond whole windows of its own becomes an item. Items are written
+with a lexical key, the least tokens of their token sets in three random orders that prefer rare tokens, so that items
+with words in common have keys in common. Ranges of (key, doc_id, start) are sorted and cut into shards of at
+most SHARD_IDS ids: neighbours by key share a shard at every size of the corpus, and a key that holds a third of all items
+is cut by document. A task builds a BM25 inverted index over a shard's items and fills one window after another: a seed
+document is the query, its best unused neighbours follow in order of score, and the first that doesn't fit is cut;
+its rest seeds the next window. What a shard leaves of a window goes to the task's next shard, so only the last
+window of a range is short, and that is cut at powers of two, which need no padding.
+
+The number of ranges follows from the length of all texts. Null texts count as empty: they are the end token alone. A
 null doc_id stays null. Every row is packed, repeated rows too. An empty table gives an empty result; only
 doc_id and text are read, so extra columns never clash.
 """
@@ -15,7 +17,6 @@ doc_id and text are read, so extra columns never clash.
 from __future__ import annotations
 
 import functools
-import itertools
 import re
 import unicodedata
 import zlib
@@ -26,26 +27,33 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import text_or_empty
+from quern.llm.common import release_memory, text_or_empty, written
 from quern.llm.token_fst import byte_alphabet
 
 WINDOW = 4096
 END_ID = 2
-#: Characters of text in a shard; the memory of a task follows from it.
-SHARD_CHARS = 2_000_000
+#: Characters of text in a range, about, and ids in a shard, at most but for one item; the memory of a task follows from it.
+SHARD_CHARS, SHARD_IDS = 4_000_000, 1_000_000
+#: Ranges for each shuffle partition that the session is set to, at most.
+RANGES = 4
+#: Characters that are tokenised at once.
+BATCH = 1 << 22
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordTokenizer:
-    """Ids of a tokenizer file that drops white space and merges within words; each distinct piece between white space is encoded once.
+    """Ids of a tokenizer file that drops white space and merges within words; each distinct run of one kind of character is encoded once.
 
     Texts with special strings, with characters beyond the Latin blocks and common punctuation, or not in normal form are
     left to the library as a whole, since Unicode versions may differ there.
     """
 
-    MOST_PIECES = 800_000
-    PLAIN = re.compile("[^\t-\r -\x7e\xa0-\u024f\u2010-\u2027]")
+    #: Bytes of distinct runs that are kept, about, before all are forgotten, with ROOM for the entry of each.
+    MOST_BYTES, ROOM = 64 << 20, 160
+    #: Dotted capital I is the one character here whose lower case is longer.
+    PLAIN = re.compile("[^\t-\r -\x7e\xa0-\u012f\u0131-\u024f\u2010-\u2027]")
+    BLANK, LETTER, NUMBER, OTHER, END = range(5)
 
     def __init__(self, path: str) -> None:
         import json
@@ -63,22 +71,31 @@ class WordTokenizer:
         steps = [n["type"] for n in spec["normalizer"]["normalizers"]]
         if steps != ["NFC", "Replace", "Lowercase"] or not spec["model"]["end_of_word_suffix"]:
             raise ValueError("only files that normalise to NFC and lower case and merge within words")
+        self.kind = np.full(0x2028, self.OTHER, np.uint8)
+        for c in range(len(self.kind)):
+            group = unicodedata.category(chr(c))[0]
+            self.kind[c] = self.BLANK if chr(c).isspace() else {"L": self.LETTER, "N": self.NUMBER}.get(group, self.OTHER)
+        self.kind[0] = self.END
         self.reset()
 
     def reset(self) -> None:
         self.index: dict[str, int] = {}
+        self.kept = self.used = 0
         self.flat = np.zeros(1 << 16, np.uint16)
-        self.used = 0
-        #: Piece k of the index is flat[bounds[k] : bounds[k + 1]].
+        #: Run k of the index is flat[bounds[k] : bounds[k + 1]].
         self.bounds = np.zeros(1 << 16, np.int64)
 
-    def learn(self, pieces: list[str]) -> None:
-        """Encode new pieces: split them by the file's pattern, and let the library's model merge each word."""
+    def learn(self, runs: list[str]) -> None:
+        """Encode new runs: split them by the file's pattern, and let the library's model merge each word."""
         ids: list[int] = []
         cuts = [0]
-        for p in pieces:
-            for w in self.split(p):
-                ids += [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.letters))]
+        word = self.model.tokenize
+        for p in runs:
+            if p.isalpha():  # one word; ASCII letters stand for themselves
+                ids += [t.id for t in word(p if p.isascii() else p.encode().decode("latin-1").translate(self.letters))]
+            else:
+                for w in self.split(p):
+                    ids += [t.id for t in word(w.encode().decode("latin-1").translate(self.letters))]
             cuts.append(len(ids))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
@@ -87,27 +104,61 @@ class WordTokenizer:
         while known + len(cuts) > len(self.bounds):
             self.bounds = np.concatenate((self.bounds, np.zeros_like(self.bounds)))
         self.bounds[known : known + len(cuts)] = np.array(cuts) + self.used
-        self.index.update(zip(pieces, range(known, known + len(pieces))))
+        self.index.update(zip(runs, range(known, known + len(runs))))
         self.used += len(ids)
+        self.kept += sum(map(len, runs)) + self.ROOM * len(runs)
 
     def plain(self, text: str) -> bool:
         return not self.PLAIN.search(text) and not any(s in text for s in self.special) and unicodedata.is_normalized("NFC", text)
 
+    def runs(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(distinct runs, number of each run in order, runs in each text). A run is of letters, of numbers or of others; beside an apostrophe nothing is cut."""
+        import pyarrow as pa
+
+        joined = ("\0".join(texts) + "\0").lower()
+        raw = joined.encode()
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        kind = self.kind[points]
+        shown = (kind != self.BLANK) & (kind != self.END)
+        begins = shown.copy()
+        begins[1:] &= kind[1:] != kind[:-1]
+        marks = np.flatnonzero(points == 39)
+        if len(marks):
+            gaps = np.concatenate(([-1], np.flatnonzero(~shown)))
+            at = np.unique(np.searchsorted(gaps, marks))
+            first, n = gaps[at - 1] + 2, np.maximum(0, gaps[at] - gaps[at - 1] - 2)
+            begins[np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))] = False
+        starts = begins[shown]
+        if len(raw) == len(points):
+            data, place = np.frombuffer(raw, np.uint8)[shown], np.flatnonzero(starts)
+        else:
+            width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF)
+            data = np.frombuffer(raw, np.uint8)[np.repeat(shown, width)]
+            own = width[shown]
+            place = (np.cumsum(own) - own)[starts]
+        offsets = np.append(place, len(data)).astype(np.int32)
+        found = pa.StringArray.from_buffers(len(place), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        text_of = np.cumsum(kind == self.END)[shown][starts]
+        return found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False), np.bincount(text_of, minlength=len(texts))[: len(texts)]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without special tokens added."""
-        pieces = [t.lower().split() if self.plain(t) else [] for t in texts]
-        if len(self.index) > self.MOST_PIECES:
-            self.reset()
-        flat = list(itertools.chain.from_iterable(pieces))
-        self.learn(list(set(flat).difference(self.index)))
-        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
-        first, n = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
-        upto = np.concatenate(([0], np.cumsum(n)))
-        ids = self.flat[np.repeat(first - upto[:-1], n) + np.arange(int(upto[-1]))]
-        cuts = upto[np.cumsum([0] + [len(p) for p in pieces])]
-        out = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        plain = np.array([bool(t) and self.plain(t) for t in texts])
+        out: list = [np.zeros(0, np.uint16)] * len(texts)
+        if plain.any():
+            if self.kept > self.MOST_BYTES:
+                self.reset()
+            distinct, order, count = self.runs([t for t, p in zip(texts, plain) if p])
+            self.learn([x for x in distinct if x not in self.index])
+            at = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))[order]
+            first, n = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+            upto = np.concatenate(([0], np.cumsum(n)))
+            ids = self.flat[np.repeat(first - upto[:-1], n) + np.arange(int(upto[-1]))]
+            cuts = upto[np.concatenate(([0], np.cumsum(count)))]
+            for k, a, b in zip(np.flatnonzero(plain).tolist(), cuts, cuts[1:]):
+                out[k] = ids[a:b]
         for k, t in enumerate(texts):
-            if not pieces[k] and t:
+            if t and not plain[k]:
                 out[k] = np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint16)
         return out
 
@@ -147,8 +198,11 @@ class Index:
         return np.bincount(self.item[at], self.weight[at], self.n)
 
 
-def fill(items: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
-    """(item, start, length, window number, offset) of every piece; each id of each item lies in one piece."""
+def fill(items: list[np.ndarray], last: bool = True, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
+    """(item, start, length, window number, offset) of every piece; each id of each item lies in one piece.
+
+    Unless it is the `last` shard, what would make a short window is given back instead, with window number -1.
+    """
     index = Index(items)
     unused = np.ones(len(items), bool)
     order = np.argsort(-np.array([len(x) for x in items]), kind="stable")
@@ -186,7 +240,11 @@ def fill(items: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[int, i
                 offset += n
             number += 1
             continue
-        # The shard's last window: cut at powers of two.
+        if not last:
+            for k, a, n in pieces:
+                yield k, a, n, -1, 0
+            return
+        # The last window: cut at powers of two.
         sizes = [1 << b for b in range(window.bit_length() - 1, -1, -1) if used >> b & 1]
         offset = 0
         for k, a, n in pieces:
@@ -200,8 +258,31 @@ def fill(items: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[int, i
         return
 
 
-def items_of(docs: DataFrame, path: str, shards: int, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """(shard, doc_id, start, length, doc_tokens, crc, ids): whole windows of long documents have a crc, the rests have ids."""
+@functools.lru_cache(maxsize=2)
+def orders(tokens: int, end_id: int) -> np.ndarray:
+    """Three random orders of the vocabulary, by exponential clocks. A token's rate is the square of the logarithm of its number,
+    since vocabularies of merges are numbered from frequent to rare; the end token is last."""
+    u = np.random.default_rng(8675309).random((3, tokens))
+    clock = -np.log(u) / np.log(np.arange(tokens) + 2.0) ** 2
+    clock[:, end_id] = np.inf
+    return np.argsort(np.argsort(clock, axis=1), axis=1).astype(np.uint16)
+
+
+def lexical_keys(items: list[np.ndarray], end_id: int) -> np.ndarray:
+    """The least token of each item in each of the three orders, 16 bits each; items are not empty."""
+    flat = np.concatenate(items)
+    starts = np.cumsum([0, *map(len, items)])[:-1]
+    key = np.zeros(len(items), np.int64)
+    for order in orders(1 << 16, end_id):
+        key = key << 16 | np.minimum.reduceat(order[flat], starts)
+    return key
+
+
+ITEMS = "key long, doc_id long, start long, length long, doc_tokens long, crc long, ids binary"
+
+
+def items_of(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+    """Rows by ITEMS: whole windows of long documents have a crc, and their key only spreads them; the rests have ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = tokenizer(path)
@@ -209,43 +290,91 @@ def items_of(docs: DataFrame, path: str, shards: int, window: int = WINDOW, end_
             texts, ids_of = pdf["text"].tolist(), pdf["doc_id"].astype("Int64").tolist()
             a = total = 0
             for b in range(len(texts) + 1):
-                if b > a and (b == len(texts) or total + len(texts[b]) > 1 << 20):
-                    out = []
+                if b > a and (b == len(texts) or total + len(texts[b]) > BATCH):
+                    out, rests = [], []
                     for doc_id, ids in zip(ids_of[a:b], tok.encode(texts[a:b])):
                         ids = np.append(ids, np.uint16(end_id))
                         for start in range(0, len(ids), window):
                             p = ids[start : start + window]
-                            check, whole = crc(p), len(p) == window
-                            # by content alone, so that a task that runs again deals alike
-                            shard = zlib.crc32(f"{doc_id}:{start}:{check}".encode()) % shards
-                            out.append((shard, doc_id, start, len(p), len(ids), check if whole else None, None if whole else p.astype("<u2").tobytes()))
-                    yield pd.DataFrame(out, columns=["shard", "doc_id", "start", "length", "doc_tokens", "crc", "ids"]).astype({"doc_id": "Int64", "crc": "Int64"})
+                            if len(p) == window:
+                                check = crc(p)
+                                out.append((check << 16 | start >> 12 & 0xFFFF, doc_id, start, window, len(ids), check, None))
+                            else:
+                                rests.append((doc_id, start, len(p), len(ids), p))
+                    keys = lexical_keys([r[-1] for r in rests], end_id).tolist() if rests else []
+                    out += [(key, *r[:-1], None, r[-1].astype("<u2").tobytes()) for key, r in zip(keys, rests)]
+                    yield pd.DataFrame(out, columns=[c.split()[0] for c in ITEMS.split(", ")]).astype({"doc_id": "Int64", "crc": "Int64"})
                     a, total = b, 0
                 total += len(texts[b]) if b < len(texts) else 0
+        tok.reset()  # idle workers stay
+        release_memory()
+
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, ITEMS)
+
+
+class Range:
+    """Packs the items of a range, in order, shard by shard."""
+
+    def __init__(self, first: int, window: int = WINDOW) -> None:
+        self.number, self.window = first, window
+        self.items: list[tuple[int, int, int, np.ndarray]] = []  # doc_id, start, doc_tokens, ids
+        self.held = 0
+
+    def add(self, item: tuple[int, int, int, np.ndarray]) -> None:
+        self.items.append(item)
+        self.held += len(item[3])
+
+    def pack(self, last: bool) -> list[tuple]:
+        """Rows by SCHEMA for the shard; what is left of a window stays."""
+        shard, self.items, self.held = self.items, [], 0
+        out, most = [], -1
+        for i, a, n, seq, offset in fill([x[3] for x in shard], last, self.window):
+            doc_id, start, tokens, ids = shard[i]
+            if seq < 0:
+                self.add((doc_id, start + a, tokens, ids[a : a + n]))
+                continue
+            out.append((doc_id, start + a, n, crc(ids[a : a + n]), tokens, self.number + seq, offset))
+            most = max(most, seq)
+        self.number += most + 1
+        return out
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "shard long, doc_id long, start long, length long, doc_tokens long, crc long, ids binary")
 
+def pack_range(window: int, shard_ids: int):
+    """Over the sorted items of a range: its pieces, by SCHEMA. Sequence ids begin with the number of the range."""
 
-def pack_shard(pdf: pd.DataFrame, window: int = WINDOW) -> pd.DataFrame:
-    """Pieces of one shard, by SCHEMA; sequence ids are unique over shards."""
-    pdf = pdf.sort_values(["doc_id", "start", "length", "crc", "ids"], kind="stable", ignore_index=True)
-    doc_id, start, doc_tokens = pdf["doc_id"].astype("Int64").tolist(), pdf["start"].tolist(), pdf["doc_tokens"].tolist()
-    base, number, out = int(pdf["shard"].iloc[0]) << 32, 0, []
-    loose = []
-    for k, (ids, length, c) in enumerate(zip(pdf["ids"], pdf["length"], pdf["crc"])):
-        if ids is None:
-            out.append((doc_id[k], start[k], length, int(c), doc_tokens[k], base + number, 0))
-            number += 1
-        else:
-            loose.append((k, np.frombuffer(ids, "<u2")))
-    for i, a, n, seq, offset in fill([ids for _, ids in loose], window):
-        k, ids = loose[i]
-        out.append((doc_id[k], start[k] + a, n, crc(ids[a : a + n]), doc_tokens[k], base + number + seq, offset))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
-
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, shard_chars: int = SHARD_CHARS) -> DataFrame:
+        frame = lambda rows: pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
+        r = Range(TaskContext.get().partitionId() << 32, window)
+        for pdf in batches:
+            whole = []
+            for doc_id, start, length, tokens, check, ids in zip(pdf["doc_id"].astype("Int64").tolist(), pdf["start"].tolist(), pdf["length"].tolist(), pdf["doc_tokens"].tolist(), pdf["crc"].tolist(), pdf["ids"]):
+                if ids is None:
+                    whole.append((doc_id, start, length, int(check), tokens, r.number, 0))
+                    r.number += 1
+                    continue
+                r.add((doc_id, start, tokens, np.frombuffer(ids, "<u2")))
+                if r.held >= shard_ids:
+                    yield frame(r.pack(False))
+            if whole:
+                yield frame(whole)
+        if r.items:
+            yield frame(r.pack(True))
+        release_memory()
+
+    return run
+
+
+def dealt(items: DataFrame, ranges: int) -> DataFrame:
+    """Items by lexical key in `ranges` sorted ranges; the columns after the key cut a key that many items have."""
+    by = ("key", "doc_id", "start", "crc", "ids")
+    return items.repartitionByRange(ranges, *by).sortWithinPartitions(*by)
+
+
+def pack(docs: DataFrame, path: str, window: int = WINDOW, shard_chars: int = SHARD_CHARS, shard_ids: int = SHARD_IDS) -> DataFrame:
     """One row per piece, by SCHEMA."""
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = -(-total // shard_chars) or 1
-    return items_of(docs, path, shards, window).groupBy("shard").applyInPandas(lambda pdf: pack_shard(pdf, window), SCHEMA)
+    most = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, min(-(-total // shard_chars), most))
+    return dealt(written(items_of(docs, path, window)), ranges).mapInPandas(pack_range(window, shard_ids), SCHEMA)
