@@ -9,7 +9,7 @@ document is the query, its best unused neighbours follow in order of score, and
 its rest seeds the next window. What a shard leaves of a window goes to the task's next shard, so only the last
 window of a range is short, and that is cut at powers of two, which need no padding.
 
-The number of ranges follows from the length of all texts. Null texts count as empty: they are the end token alone. A
+The number of ranges follows from the length of all items. Null texts count as empty: they are the end token alone. A
 null doc_id stays null. Every row is packed, repeated rows too. An empty table gives an empty result; only
 doc_id and text are read, so extra columns never clash.
 """
@@ -17,6 +17,7 @@ doc_id and text are read, so extra columns never clash.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import unicodedata
 import zlib
@@ -32,8 +33,8 @@ from quern.llm.token_fst import byte_alphabet
 
 WINDOW = 4096
 END_ID = 2
-#: Characters of text in a range, about, and ids in a shard, at most but for one item; the memory of a task follows from it.
-SHARD_CHARS, SHARD_IDS = 4_000_000, 1_000_000
+#: Ids of items in a range, about, and in a shard, at most but for one item; the memory of a task follows from the latter.
+RANGE_IDS = SHARD_IDS = 1_000_000
 #: Ranges for each shuffle partition that the session is set to, at most.
 RANGES = 4
 #: Characters that are tokenised at once.
@@ -116,8 +117,8 @@ class WordTokenizer:
         import pyarrow as pa
 
         joined = ("\0".join(texts) + "\0").lower()
-        raw = joined.encode()
-        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        raw = np.frombuffer(joined.encode(), np.uint8)
+        points = raw if joined.isascii() else np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         kind = self.kind[points]
         shown = (kind != self.BLANK) & (kind != self.END)
         begins = shown.copy()
@@ -129,33 +130,38 @@ class WordTokenizer:
             first, n = gaps[at - 1] + 2, np.maximum(0, gaps[at] - gaps[at - 1] - 2)
             begins[np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))] = False
         starts = begins[shown]
-        if len(raw) == len(points):
-            data, place = np.frombuffer(raw, np.uint8)[shown], np.flatnonzero(starts)
+        if points is raw:
+            data, place = raw[shown], np.flatnonzero(starts)
         else:
-            width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF)
-            data = np.frombuffer(raw, np.uint8)[np.repeat(shown, width)]
-            own = width[shown]
-            place = (np.cumsum(own) - own)[starts]
+            width = (1 + (points > 0x7F).astype(np.uint8) + (points > 0x7FF)).astype(np.uint8)
+            data, own = raw[np.repeat(shown, width)], width[shown]
+            place = (np.cumsum(own, dtype=np.int64) - own)[starts]
         offsets = np.append(place, len(data)).astype(np.int32)
         found = pa.StringArray.from_buffers(len(place), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
-        text_of = np.cumsum(kind == self.END)[shown][starts]
-        return found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False), np.bincount(text_of, minlength=len(texts))[: len(texts)]
+        upto = np.concatenate(([0], np.cumsum(begins, dtype=np.int64)[kind == self.END]))
+        return found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False), np.diff(upto)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without special tokens added."""
-        plain = np.array([bool(t) and self.plain(t) for t in texts])
+        plain = [bool(t) and self.plain(t) for t in texts]
         out: list = [np.zeros(0, np.uint16)] * len(texts)
-        if plain.any():
+        for ascii in (True, False):
+            own = [k for k, t in enumerate(texts) if plain[k] and t.isascii() == ascii]
+            if not own:
+                continue
             if self.kept > self.MOST_BYTES:
                 self.reset()
-            distinct, order, count = self.runs([t for t, p in zip(texts, plain) if p])
-            self.learn([x for x in distinct if x not in self.index])
-            at = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))[order]
+            distinct, order, count = self.runs([texts[k] for k in own])
+            at = np.fromiter(map(self.index.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+            new = np.flatnonzero(at < 0)
+            at[new] = len(self.index) + np.arange(len(new))
+            self.learn([distinct[k] for k in new.tolist()])
+            at = at[order]
             first, n = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
             upto = np.concatenate(([0], np.cumsum(n)))
             ids = self.flat[np.repeat(first - upto[:-1], n) + np.arange(int(upto[-1]))]
             cuts = upto[np.concatenate(([0], np.cumsum(count)))]
-            for k, a, b in zip(np.flatnonzero(plain).tolist(), cuts, cuts[1:]):
+            for k, a, b in zip(own, cuts, cuts[1:]):
                 out[k] = ids[a:b]
         for k, t in enumerate(texts):
             if t and not plain[k]:
@@ -173,7 +179,10 @@ def crc(ids: np.ndarray) -> int:
 
 
 class Index:
-    """BM25 over items of token ids."""
+    """BM25 over items of token ids: a row of weights for each token that many items hold, postings for the others."""
+
+    #: A token in one of so many items has a row.
+    FREQUENT = 16
 
     def __init__(self, items: list[np.ndarray]) -> None:
         n = len(items)
@@ -181,21 +190,32 @@ class Index:
         key = np.sort(np.concatenate(items).astype(np.int64) << 32 | np.repeat(np.arange(n), size)) if n else np.zeros(0, np.int64)
         new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         tf = np.diff(np.append(new, len(key)))
-        token, self.item = key[new] >> 32, key[new] & 0xFFFFFFFF
-        self.cut = np.searchsorted(token, np.arange(int(token.max(initial=0)) + 2))
-        df = np.diff(self.cut)
+        token, item = key[new] >> 32, key[new] & 0xFFFFFFFF
+        df = np.bincount(token, minlength=int(token.max(initial=0)) + 1)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * size / max(1.0, size.mean())) if n else size
-        self.weight = idf[token] * tf * (K1 + 1) / (tf + norm[self.item])
+        weight = idf[token] * tf * (K1 + 1) / (tf + norm[item])
+        often = df * self.FREQUENT >= max(n, 1)
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.rows = np.zeros((int(often.sum()), n))
+        own = often[token]
+        self.rows[self.row[token[own]], item[own]] = weight[own]
+        self.item, self.weight = item[~own], weight[~own]
+        self.cut = np.searchsorted(token[~own], np.arange(len(df) + 1))
         self.n = n
 
     def scores(self, query: np.ndarray) -> np.ndarray:
         """BM25 of every item for the distinct tokens of a query."""
-        t = np.unique(query)
-        a, b = self.cut[t], self.cut[t + 1]
-        n = b - a
+        asked = np.zeros(len(self.row), bool)
+        asked[query] = True
+        t = np.flatnonzero(asked)
+        row = self.row[t]
+        use = np.zeros(len(self.rows))
+        use[row[row >= 0]] = 1
+        t = t[row < 0]
+        a, n = self.cut[t], self.cut[t + 1] - self.cut[t]
         at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return np.bincount(self.item[at], self.weight[at], self.n)
+        return use @ self.rows + np.bincount(self.item[at], self.weight[at], self.n)
 
 
 def fill(items: list[np.ndarray], last: bool = True, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
@@ -282,7 +302,7 @@ ITEMS = "key long, doc_id long, start long, length long, doc_tokens long, crc lo
 
 
 def items_of(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """Rows by ITEMS: whole windows of long documents have a crc, and their key only spreads them; the rests have ids."""
+    """Rows by ITEMS: whole windows of long documents have no ids, and their key only spreads them; the rests have ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = tokenizer(path)
@@ -296,14 +316,14 @@ def items_of(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END
                         ids = np.append(ids, np.uint16(end_id))
                         for start in range(0, len(ids), window):
                             p = ids[start : start + window]
+                            check = crc(p)
                             if len(p) == window:
-                                check = crc(p)
                                 out.append((check << 16 | start >> 12 & 0xFFFF, doc_id, start, window, len(ids), check, None))
                             else:
-                                rests.append((doc_id, start, len(p), len(ids), p))
+                                rests.append((doc_id, start, len(p), len(ids), check, p))
                     keys = lexical_keys([r[-1] for r in rests], end_id).tolist() if rests else []
-                    out += [(key, *r[:-1], None, r[-1].astype("<u2").tobytes()) for key, r in zip(keys, rests)]
-                    yield pd.DataFrame(out, columns=[c.split()[0] for c in ITEMS.split(", ")]).astype({"doc_id": "Int64", "crc": "Int64"})
+                    out += [(key, *r[:-1], r[-1].astype("<u2").tobytes()) for key, r in zip(keys, rests)]
+                    yield pd.DataFrame(out, columns=[c.split()[0] for c in ITEMS.split(", ")]).astype({"doc_id": "Int64"})
                     a, total = b, 0
                 total += len(texts[b]) if b < len(texts) else 0
         tok.reset()  # idle workers stay
@@ -368,13 +388,13 @@ def pack_range(window: int, shard_ids: int):
 
 def dealt(items: DataFrame, ranges: int) -> DataFrame:
     """Items by lexical key in `ranges` sorted ranges; the columns after the key cut a key that many items have."""
-    by = ("key", "doc_id", "start", "crc", "ids")
+    by = ("key", "doc_id", "start", "crc", "length")
     return items.repartitionByRange(ranges, *by).sortWithinPartitions(*by)
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, shard_chars: int = SHARD_CHARS, shard_ids: int = SHARD_IDS) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = WINDOW, range_ids: int = RANGE_IDS, shard_ids: int = SHARD_IDS) -> DataFrame:
     """One row per piece, by SCHEMA."""
-    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    items = written(items_of(docs, path, window))
+    total = items.where("ids is not null").agg(F.sum("length")).first()[0] or 0
     most = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(1, min(-(-total // shard_chars), most))
-    return dealt(written(items_of(docs, path, window)), ranges).mapInPandas(pack_range(window, shard_ids), SCHEMA)
+    return dealt(items, max(1, min(-(-total // range_ids), most))).mapInPandas(pack_range(window, shard_ids), SCHEMA)

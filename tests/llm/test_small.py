@@ -281,7 +281,7 @@ def test_packing(spark, edge, empty):
     assert packing.pack(empty, path).count() == 0
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    pieces = packing.pack(docs, path, shard_chars=100_000).collect()
+    pieces = packing.pack(docs, path, range_ids=30_000, shard_ids=9_000).collect()
     check_packing(pieces, list(texts.items()), lib)
     for p in pieces:
         ids = [*lib.encode(texts[p["doc_id"]], add_special_tokens=False).ids, 2][p["start"] : p["start"] + p["length"]]
