@@ -5,6 +5,8 @@ from __future__ import annotations
 import html
 import re
 
+import numpy as np
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
@@ -106,61 +108,94 @@ def measure(node: Node, shapes: dict) -> None:
         x.size = 1 + sum(c.size for c in x.children)
 
 
-def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Matched pairs of simple tree matching: roots match by tag, children by the best order-preserving matching of their subtrees."""
-    pairs: list[tuple[Node, Node]] = []
-    weights: dict[tuple[int, int], int] = {}
-
-    def table(xs: list[Node], ys: list[Node]) -> list[list[int]]:
-        rows = [[0] * (len(ys) + 1)]
-        for x in xs:
-            last, row = rows[-1], [0]
-            for j, y in enumerate(ys):
-                row.append(max(last[j + 1], row[j], last[j] + weight(x, y)))
-            rows.append(row)
-        return rows
-
-    def trimmed(x: Node, y: Node) -> tuple[int, int]:
-        """Children of equal shape at both ends are matched outright, which loses no weight."""
-        xs, ys, lo, hi = x.children, y.children, 0, 0
-        most = min(len(xs), len(ys))
-        while lo < most and xs[lo].shape == ys[lo].shape:
-            lo += 1
-        while hi < most - lo and xs[-1 - hi].shape == ys[-1 - hi].shape:
-            hi += 1
-        return lo, hi
-
-    def weight(x: Node, y: Node) -> int:
+def _ends(x: Node, y: Node) -> tuple[int, int]:
+    """Children of equal shape at both ends are matched outright, which loses no weight."""
+    xs, ys, lo, hi = x.children, y.children, 0, 0
+    most = min(len(xs), len(ys))
+    while lo < most and xs[lo].shape == ys[lo].shape:
+        lo += 1
+    while hi < most - lo and xs[-1 - hi].shape == ys[-1 - hi].shape:
+        hi += 1
+    return lo, hi
+
+
+def _inner(x: Node, y: Node) -> tuple[list[Node], list[Node]]:
+    """The children between those that `_ends` matches."""
+    lo, hi = _ends(x, y)
+    return x.children[lo : len(x.children) - hi], y.children[lo : len(y.children) - hi]
+
+
+class Matching:
+    """Weights of simple tree matching between two trees, by pair of shapes. No recursion, since pages may nest deeply."""
+
+    def __init__(self) -> None:
+        self.weights: dict[tuple[int, int], int] = {}
+
+    def known(self, x: Node, y: Node) -> int | None:
         if x.tag != y.tag:
             return 0
-        if x.shape == y.shape:
-            return x.size
-        key = (x.shape, y.shape)
-        if key not in weights:
-            lo, hi = trimmed(x, y)
-            inner = table(x.children[lo : len(x.children) - hi], y.children[lo : len(y.children) - hi])
-            weights[key] = 1 + sum(c.size for c in x.children[:lo]) + sum(c.size for c in x.children[len(x.children) - hi :]) + inner[-1][-1]
-        return weights[key]
+        return x.size if x.shape == y.shape else self.weights.get((x.shape, y.shape))
+
+    def weigh(self, x: Node, y: Node) -> int:
+        """Weight of a pair, after those of all pairs below it that it needs."""
+        todo = [(x, y)]
+        while todo:
+            x, y = todo[-1]
+            if self.known(x, y) is not None:
+                todo.pop()
+                continue
+            xs, ys = _inner(x, y)
+            firsts = [{c.shape: c for c in side}.values() for side in (xs, ys)]
+            open_ = [(p, q) for p in firsts[0] for q in firsts[1] if self.known(p, q) is None]
+            if open_:
+                todo += open_
+                continue
+            todo.pop()
+            # What both ends match weighs as much as it has nodes: all of the smaller side but its inner children.
+            self.weights[x.shape, y.shape] = x.size - sum(c.size for c in xs) + (int(self.table(xs, ys)[-1, -1]) if xs and ys else 0)
+        return self.known(x, y)
+
+    def table(self, xs: list[Node], ys: list[Node]) -> np.ndarray:
+        """Weights of the best order-preserving matchings of the first i of xs and the first j of ys."""
+        shapes = list({c.shape: c for c in ys}.values())
+        column = {c.shape: k for k, c in enumerate(shapes)}
+        place = np.array([column[c.shape] for c in ys])
+        rows: dict[int, np.ndarray] = {}
+        out = np.zeros((len(xs) + 1, len(ys) + 1), np.int64)
+        for i, x in enumerate(xs):
+            if x.shape not in rows:
+                rows[x.shape] = np.array([self.weigh(x, y) for y in shapes], np.int64)[place]
+            np.maximum.accumulate(np.maximum(out[i, 1:], out[i, :-1] + rows[x.shape]), out=out[i + 1, 1:])
+        return out
 
+
+def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
+    """Matched pairs of simple tree matching: roots match by tag, children by the best order-preserving matching of their subtrees."""
+    pairs: list[tuple[Node, Node]] = []
+    match = Matching()
+    match.weigh(a, b)
     todo = [(a, b)]
     while todo:
         x, y = todo.pop()
         if x.tag != y.tag:
             continue
         pairs.append((x, y))
-        lo, hi = trimmed(x, y) if x.shape != y.shape else (len(x.children), 0)
         xs, ys = x.children, y.children
+        if x.shape == y.shape:
+            todo += zip(xs, ys)
+            continue
+        lo, hi = _ends(x, y)
         todo += zip(xs[:lo], ys[:lo])
         todo += zip(xs[len(xs) - hi :], ys[len(ys) - hi :]) if hi else ()
         xs, ys = xs[lo : len(xs) - hi], ys[lo : len(ys) - hi]
         if not xs or not ys:
             continue
-        rows = table(xs, ys)
+        rows = match.table(xs, ys)
         i, j = len(xs), len(ys)
         while i and j:
-            if rows[i][j] == rows[i - 1][j]:
+            if rows[i, j] == rows[i - 1, j]:
                 i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
+            elif rows[i, j] == rows[i, j - 1]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1

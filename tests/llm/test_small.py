@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -481,6 +482,25 @@ def test_alignment_is_optimal(left, right):
     assert len(html_tree.align(a, b)) == brute_weight(a, b)
 
 
+def test_deep_and_wide_pages():
+    deep = [f"{'<div>' * 5000}<p>story {k}<p>All rights reserved" + ("" if k else "<b>x</b>") for k in range(3)]
+    assert induced(deep) == [["All rights reserved"]] * 3
+    wide = ["<body>" + "".join(f"<{t}>{k} {n}</{t}>" for n in range(1000) for t in (("p", "h4"), ("h1", "p"), ("h2", "div"))[k]) + "<h3>same</h3>" for k in range(3)]
+    assert induced(wide) == [["same"]] * 3
+    out, other = (html_extraction.extract_group(pd.DataFrame([(k, "http://a.com", p) for k, p in enumerate(x)], columns=["page_id", "url", "html"])) for x in (deep, wide))
+    assert len(other) == 3 and not other["text"].str.contains("same").any()
+    assert len(out) == 3 and all(f"story {k}" in out["text"][k] and "reserved" not in out["text"][k] for k in range(3))
+
+
+def test_pages_without_article(spark):
+    """Hosts whose markup names no content: the truth is made by hand."""
+    menu = "<div><a href='/'>Home</a> <a href='/n'>News</a> <a href='/c'>Contact</a></div>"
+    story = lambda k: [f"Headline {k}", " ".join(f"a{k}w{n}" for n in range(30)), " ".join(f"b{k}w{n}" for n in range(30))]
+    page = lambda k: f"<html><body>{menu}<div><h1>{story(k)[0]}</h1><p>{story(k)[1]}</p><p>{story(k)[2]}</p></div><div>Written by our staff</div><p>Copyright 2020</p></body></html>"
+    df = spark.createDataFrame([(k, f"http://b.org/{k}", page(k)) for k in range(12)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extraction.extract(df).collect()} == {k: "\n\n".join(story(k)) for k in range(12)}
+
+
 def test_pages(spark):
     page = "<html><head><title>t</title><script>var x='</p>';</script></head><body><nav><a>menu</a></nav><div class=\"ad\">buy</div><article><header><h1>T &amp; U</h1></header><p>one\n <b>two<br>three<p>four<div class='comments'>me too</div><aside>s</aside></article><footer>f</footer>"
     rows = [(1, "http://a.com/1", page), (2, "http://a.com/2", None), (None, None, "plain &lt;text&gt; <3"), (4, "http://a.com/1", page)]
