@@ -87,8 +87,10 @@ def test_mixing_edge(spark, edge):
     assert mixing.mixed_documents(edge).columns == edge.columns
     rows = [(k, "w " * (k % 50 + 1), f"s{k % 7}" if k % 3 else "hot") for k in range(3000)]
     docs = table(spark, rows)
-    a, b = (sorted(map(tuple, mixing.mix(docs, buckets=n).collect())) for n in (1024, 7))
+    a, b = (sorted(map(tuple, mixing.mix(docs, few=n).collect())) for n in (4096, 1))
     assert a == b  # the cells of the prefix sum change nothing
+    whole = mixing.sampling_plan(mixing.draws(docs))[0].where("p > 0").groupBy("source").agg(F.countDistinct("p").alias("n")).collect()
+    assert whole and max(r["n"] for r in whole) > 1  # documents of a source have unequal odds
     taken, target, size = Counter(), {}, Counter()
     source = {i: s for i, _, s in rows}
     for i, n, _, t, k in a:
@@ -106,6 +108,27 @@ def test_mixing_edge(spark, edge):
     assert all(abs(words[s] - target[s]) <= 50 for s in target)
 
 
+def test_mixing_empty_and_many_sources(spark, empty):
+    assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
+    sizes = spark.createDataFrame([(f"s{k:04d}" if k else None, (k * 7919) % 1000 + 1) for k in range(500)], "source string, size long").repartition(5)
+    got = {r["source"]: r for r in mixing.source_targets(sizes).collect()}
+    order = sorted(got, key=lambda x: (x is None, x or ""))
+    w = {x: (5, 2, 1)[k % 3] for k, x in enumerate(order)}
+    caps, total = {x: 2 * got[x]["source_size"] for x in order}, 1.5 * sum(r["source_size"] for r in got.values())
+    lo, hi = 0.0, float(max(caps.values()))
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(caps[x], mid * w[x]) for x in order) < total else (lo, mid)
+    assert all(abs(got[x]["target"] - min(caps[x], hi * w[x])) < 1e-6 for x in order)
+
+
+def test_mixing_draws_long_documents_more_often(spark):
+    docs = table(spark, [(k, "w " * (3 if k % 2 else 300), "only" if k < 4000 else "z") for k in range(4400)])
+    taken = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").where("source = 'only'").groupBy("size").agg(F.avg(F.col("taken") / F.col("size")).alias("rate"))
+    rate = {r["size"]: r["rate"] for r in taken.collect()}
+    assert 1.0 < rate[300] <= 2.0 and 0 < rate[3] < 0.6 * rate[300]
+
+
 # Near-dedup
 
 
