@@ -11,12 +11,38 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from quern.api import Config, Engine
-from quern.embedders import hash_embedder
+from quern.embedders import hash_embedder, http_embedder, plain_http
 from quern.operators.catalog import root_named
 from quern.session import build_session
 
 #: Settable keys and how their values are read.
-KEYS = {"model": str, "overlap": int, "workers": int, "suffixes": lambda v: tuple(v.split(",")), "skip": lambda v: tuple(v.split(","))}
+def bounded(least: int, most: int):
+    """A reader of whole numbers within bounds."""
+
+    def read(text: str) -> int:
+        n = int(text)
+        if not least <= n <= most:
+            raise ValueError(text)
+        return n
+
+    return read
+
+
+def one_of(*values: str):
+    def read(text: str) -> str:
+        if text not in values:
+            raise ValueError(text)
+        return text
+
+    return read
+
+
+KEYS = {
+    "store": str, "model": str, "embed_url": str, "embed_kind": one_of("hash", "plain", "listed"), "embed_key": str, "overlap": bounded(0, 2000), "workers": bounded(1, 1000),
+    "ocr_engine": one_of("local", "vision"), "ocr_url": str, "ocr_model": str, "ocr_key_command": str,
+    "suffixes": lambda v: tuple(v.split(",")), "skip": lambda v: tuple(v.split(",")),
+}
+URLS = ("embed_url", "ocr_url")
 USER_ERROR, DEGRADED, INTERRUPTED = 1, 3, 130
 
 
@@ -106,13 +132,20 @@ def main(argv: list[str] | None = None) -> int:
             except ValueError:
                 print(f"not a value for {args.key}: {args.value}", file=sys.stderr)
                 return USER_ERROR
+            if args.key in URLS and args.value and plain_http(args.value):
+                print(f"{args.key} is not HTTPS: texts and keys travel unencrypted", file=sys.stderr)
             save()
         else:
             print(json.dumps(kept, indent=2, ensure_ascii=False))
         return 0
     known = {k: tuple(v) if isinstance(v, list) else v for k, v in kept.items() if k in Config.__dataclass_fields__}
     spark = build_session()
-    engine = Engine(spark, str(home / "store"), Config(**known), hash_embedder(8))
+    if args.command == "index" and args.workers:
+        known["workers"] = args.workers
+    folder = kept.get("store", str(home / "store"))
+    url, kind, model = kept.get("embed_url", ""), kept.get("embed_kind", "hash"), kept.get("model", "hash-8")
+    embedder = hash_embedder(8) if kind == "hash" else http_embedder(url, model, kept.get("embed_key", ""), kind == "listed")
+    engine = Engine(spark, folder, Config(**known), embedder)
     if args.command == "remove-dir":
         root = root_named(roots, os.path.abspath(os.path.expanduser(args.path))) or root_named(roots, args.path)
         if root is None:

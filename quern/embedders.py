@@ -91,3 +91,53 @@ def embedded(rows: DataFrame, embedder: Embedder, retries: int = 0) -> DataFrame
             yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "status": [s for s, _ in found], "vector": [v for _, v in found]})
 
     return rows.select("chunk_id", "text").mapInPandas(run, "chunk_id long, status string, vector array<float>")
+
+
+def vectors_of(reply: str, listed: bool) -> list[list[float]]:
+    """Vectors of a server's JSON. A `listed` reply holds records with an index, in any order; the other kind holds the vectors in order."""
+    import json
+
+    try:
+        found = json.loads(reply)
+        if listed:
+            return [r["embedding"] for r in sorted(found["data"], key=lambda r: r.get("index", 0))]
+        return list(found["embeddings"])
+    except (ValueError, KeyError, TypeError, AttributeError) as e:
+        raise Unavailable("no embeddings in the reply") from e
+
+
+#: What a server says of a text that it can never embed.
+NEVER = ("NaN", "unsupported value")
+
+
+def http_embedder(url: str, model: str, key: str = "", listed: bool = False, timeout: float = 120.0) -> Embedder:
+    """An embedding server: `url`/embeddings for listed replies, else `url`/api/embed. What it can never embed is Rejected, any other failure Unavailable."""
+
+    def run(texts: list[str]) -> list[list[float]]:
+        import json
+        import urllib.error
+        import urllib.request
+
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key and listed else {})
+        body = json.dumps({"model": model, "input": texts}).encode()
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url.rstrip("/") + ("/embeddings" if listed else "/api/embed"), data=body, headers=headers), timeout=timeout) as r:
+                out = vectors_of(r.read().decode("utf-8", "replace"), listed)
+        except urllib.error.HTTPError as e:
+            said = e.read().decode("utf-8", "replace")
+            raise (Rejected if any(n in said for n in NEVER) else Unavailable)(said[:200]) from e
+        except OSError as e:
+            raise Unavailable(str(e)) from e
+        if len(out) != len(texts):
+            raise Unavailable("another number of vectors than texts")
+        return out
+
+    return run
+
+
+def plain_http(url: str) -> bool:
+    """Whether texts and keys would travel to another machine unencrypted."""
+    from urllib.parse import urlparse
+
+    at = urlparse(url)
+    return at.scheme != "https" and at.hostname not in ("localhost", "127.0.0.1", "::1")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 ELLIPSIS = "..."
 #: Least characters to embed, most to embed, length of a semantic snippet, least letters of real text.
 MIN_EMBED, MAX_EMBED, SNIPPET, LEAST_LETTERS = 50, 8000, 200, 20
+#: Fixed patterns: bold headings, image links, inline tags.
+BOLD_HEADING, IMAGE_LINK, INLINE_TAG = r"(?m)^(#{1,6}\s+)\*\*(.+?)\*\*\s*$", r"!\[[^\]]*\]\([^)]*\)", r"</?[a-zA-Z][a-zA-Z0-9]*(\s[^<>]*)?/?>"
 
 
 def strip(c: Column) -> Column:
@@ -37,15 +39,15 @@ def semantic_snippet(c: Column, most: int | None = None) -> Column:
 
 
 def unbold_headings(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?m)^(#{1,6}\s+)\*\*(.+?)\*\*\s*$", "$1$2")
+    return F.regexp_replace(c, BOLD_HEADING, "$1$2")
 
 
 def strip_images(c: Column) -> Column:
-    return F.regexp_replace(c, r"!\[[^\]]*\]\([^)]*\)", "")
+    return F.regexp_replace(c, IMAGE_LINK, "")
 
 
 def strip_tags(c: Column) -> Column:
-    return F.regexp_replace(c, r"</?[a-zA-Z][a-zA-Z0-9]*(\s[^<>]*)?/?>", "")
+    return F.regexp_replace(c, INLINE_TAG, "")
 
 
 def has_text(c: Column) -> Column:
@@ -54,8 +56,9 @@ def has_text(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.call_function("java_method", F.lit("org.apache.commons.lang3.StringUtils"), F.lit("stripAccents"), F.lower(c))
+    """Lower case without diacritics; a text of one byte a character has none."""
+    low = F.lower(c)
+    return F.when(F.length(c) == F.octet_length(c), low).otherwise(F.call_function("java_method", F.lit("org.apache.commons.lang3.StringUtils"), F.lit("stripAccents"), low))
 
 
 def tokens(c: Column) -> Column:

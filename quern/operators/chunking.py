@@ -15,18 +15,18 @@ _LEVEL, _TITLE = r"^(#{1,3})", r"^#{1,3}\s+([^\n]+)"
 
 
 def pack_paragraphs(c: Column, most: int = CHUNK) -> Column:
-    """Array of chunks: paragraphs joined while they fit; a single long one is not cut."""
+    """Array of chunks: paragraphs joined while they fit, without white space at a chunk's ends; a single long one is not cut."""
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("cur"))
 
     def add(acc: Column, p: Column) -> Column:
         fits = F.length(acc["cur"]) + F.length(p) + 2 <= most
         return (
-            F.when(acc["cur"].isNull(), F.struct(acc["out"].alias("out"), p.alias("cur")))
+            F.when(acc["cur"].isNull() | (acc["cur"] == ""), F.struct(acc["out"].alias("out"), p.alias("cur")))
             .when(fits, F.struct(acc["out"].alias("out"), F.concat(acc["cur"], F.lit("\n\n"), p).alias("cur")))
             .otherwise(F.struct(F.concat(acc["out"], F.array(acc["cur"])).alias("out"), p.alias("cur")))
         )
 
-    folded = F.aggregate(F.split(c, "\n\n+"), start, add, lambda acc: F.concat(acc["out"], F.array(acc["cur"])))
+    folded = F.aggregate(F.split(c, "\n\n+"), start, add, lambda acc: F.transform(F.concat(acc["out"], F.array(acc["cur"])), strip))
     return F.when(F.length(c) <= most, F.array(c)).otherwise(folded)
 
 

@@ -14,10 +14,12 @@ def tokenised(chunks: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, col, positions, tf). Written partitioned or bucketed by term, a lookup reads its terms only."""
-    t = tokenised(chunks)
-    one = lambda col: t.select("chunk_id", F.lit(col).alias("col"), F.posexplode(f"{col}_tokens").alias("pos", "term"))
-    return one("content").unionByName(one("heading")).groupBy("term", "chunk_id", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.count("*").alias("tf"))
+    """(term, chunk_id, col, positions, tf, length). Written sorted by term, a lookup reads its terms only; with the chunk's length in
+    each posting, a score needs no other table."""
+    t = tokenised(chunks).withColumn("length", F.size("content_tokens") + F.size("heading_tokens"))
+    one = lambda col: t.select("chunk_id", "length", F.lit(col).alias("col"), F.posexplode(f"{col}_tokens").alias("pos", "term"))
+    rows = one("content").unionByName(one("heading")).groupBy("term", "chunk_id", "col")
+    return rows.agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
 def document_lengths(chunks: DataFrame) -> DataFrame:

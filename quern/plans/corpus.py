@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators.lexicon import tokenised
+from quern.operators.lexicon import document_lengths, postings, tokenised
+from quern.operators.ranking import SearchIndex
+from quern.session import shared_folder
+from quern.sources.store import Store
 
 ROOT = "/corpus"
+_indexes: dict[tuple, Store] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +45,19 @@ def searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenised(chunks(spark, sf_dir))
 
 
+def indexed(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The stored index over all documents. The first query of a session that asks for it builds it; another state of the table gets another index."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    state = sorted((str(x.getPath()), x.getLen(), x.getModificationTime()) for x in fs.listStatus(path))
+    key = (spark.sparkContext.applicationId, sf_dir, *state)
+    if key not in _indexes:
+        store, c = Store(spark, shared_folder(spark)), chunks(spark, sf_dir)
+        store.write({"chunks": c, "postings": postings(c), "lengths": document_lengths(c)})
+        _indexes[key] = store
+    return _indexes[key].index()
+
+
 def words_sql(x: str) -> str:
     return rf"regexp_extract_all(strip_accents(lower({x})), '[\p{{L}}\p{{N}}]+')"
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_own: dict[str, str] = {}
 
 
 def build_session(app: str = "quern", **conf: str) -> SparkSession:
@@ -19,6 +23,7 @@ def build_session(app: str = "quern", **conf: str) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.parquet.pushdown.inFilterThreshold": "1000",  # chunks are looked up by id
     } | {k.replace("__", "."): v for k, v in conf.items()}
     for k, v in settings.items():
         builder = builder.config(k, v)
@@ -37,3 +42,17 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, below spark.checkpoint.dir; only a local session without it gets a temporary one, removed at the end."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if base is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if sc.applicationId not in _own:
+            _own[sc.applicationId] = tempfile.mkdtemp(prefix="quern-shared-")
+            atexit.register(shutil.rmtree, _own[sc.applicationId], ignore_errors=True)
+        base = _own[sc.applicationId]
+    return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"

@@ -53,15 +53,11 @@ def scan_distributed(spark: SparkSession, root: str, glob: str = "*") -> DataFra
     return b.select("path", F.lit(root).alias("directory"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size"))
 
 
-def read_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, text, markdown): UTF-8 with bad bytes replaced and plain newlines; Markdown only by the exact suffix .md."""
+def read_bytes(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, content) of these files."""
     hidden = [p for p in paths if os.path.basename(p)[:1] in "._"]
     plain = sorted(set(paths).difference(hidden))
 
-    @F.pandas_udf("string")
-    def decode(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: bytes(x).decode("utf-8", "replace"))
-
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"path": pdf["path"], "content": [Path(p).read_bytes() for p in pdf["path"]]})
@@ -72,7 +68,13 @@ def read_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
         b = spark.createDataFrame([], "path string, content binary")
     if hidden:  # Spark's file sources pass over such names
         b = b.unionByName(spark.createDataFrame([(p,) for p in hidden], "path string").mapInPandas(opened, "path string, content binary"))
-    return b.select("path", normal_newlines(decode("content")).alias("text"), F.col("path").endswith(".md").alias("markdown"))
+    return b
+
+
+def read_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, text, markdown): UTF-8 with bad bytes replaced and plain newlines; Markdown only by the exact suffix .md."""
+    b = read_bytes(spark, paths)
+    return b.select("path", normal_newlines(F.make_valid_utf8(F.col("content").cast("string"))).alias("text"), F.col("path").endswith(".md").alias("markdown"))
 
 
 def cleaned(markdown) -> object:

@@ -1,11 +1,13 @@
-"""The store: immutable generations of tables in a folder, and a pointer to the current one.
+"""The store: immutable tables in a folder, and numbered generations that name the folder of each table.
 
-A generation is written beside the others and becomes current by one small file, so readers never see half a
-write and nothing that is being read is overwritten. Works on any file system Spark writes to.
+A generation is a small file that becomes current by one rename to the next number, so readers never see half a
+write and nothing that is being read is overwritten; a run that dies between leaves the one before in place. Tables that a generation
+does not change are named again, not copied. Works on any file system Spark writes to.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,17 +18,23 @@ from quern.functions.text import MAX_EMBED, MIN_EMBED, embed_text, iso_now, stri
 from quern.operators import catalog as C
 from quern.operators import chunking as K
 from quern.operators import lexicon as L
+from quern.operators.ranking import SearchIndex
 
 SCHEMAS = {
     "files": "path string, directory string, mtime_ns long, size long",
     "chunks": "chunk_id long, file_path string, chunk_index int, heading string, content string",
     "embeddings": "chunk_id long, vector array<float>",
     "meta": "key string, value string",
-    "postings": "term string, chunk_id long, col string, positions array<int>, tf long",
+    "postings": "term string, chunk_id long, col string, positions array<int>, tf long, length int",
+    "stats": "n long, words long",
     "lengths": "chunk_id long, len_content int, len_heading int",
 }
 
 
+#: Tables that are looked up by a key.
+SORTED = {"postings": "term", "chunks": "chunk_id"}
+
+
 class Store:
     """Tables of one corpus."""
 
@@ -37,42 +45,72 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def generation(self) -> str | None:
-        fs, p = self._fs(f"{self.root}/CURRENT")
-        return self.spark.read.text(f"{self.root}/CURRENT").first()[0] if fs.exists(p) else None
+    def generations(self) -> list[int]:
+        fs, p = self._fs(self.root)
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n.removeprefix("generation-")) for n in names if n.startswith("generation-") and n.removeprefix("generation-").isdigit())
+
+    def named(self, number: int | None = None) -> dict[str, str]:
+        """Folder of each table in a generation, or in the current one; none before the first."""
+        have = self.generations()
+        if not have:
+            return {}
+        path = f"{self.root}/generation-{have[-1] if number is None else number:012d}"
+        return json.loads("".join(r[0] for r in self.spark.read.text(path).collect()))
 
     def table(self, name: str) -> DataFrame:
         """A table of the current generation; empty before the first."""
-        at = self.generation()
-        fs, p = self._fs(f"{self.root}/{at}/{name}")
-        if at is None or not fs.exists(p):
+        at = self.named().get(name)
+        if at is None:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{at}/{name}")
-
-    def write(self, tables: dict[str, DataFrame]) -> str:
-        """Write a generation and make it current. Tables that are not given are carried over."""
-        new = f"generation-{uuid.uuid4().hex}"
-        for name in SCHEMAS:
-            df = tables.get(name, self.table(name))
-            cols = [c.strip().split()[0] for c in SCHEMAS[name].split(", ")]
-            out = df.select(*cols)
-            if name == "postings":
-                out = out.repartitionByRange("term").sortWithinPartitions("term")  # lookups of a term read few row groups
-            out.write.parquet(f"{self.root}/{new}/{name}")
-        fs, p = self._fs(f"{self.root}/CURRENT.{new}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{at}")
+
+    def index(self) -> SearchIndex:
+        return SearchIndex(self.table("postings"), self.table("stats"), self.table("chunks"))
+
+    def write(self, tables: dict[str, DataFrame]) -> int:
+        """Write these tables and make a generation current that names them and the others as they were."""
+        new, names, number = uuid.uuid4().hex, self.named(), (self.generations() or [0])[-1] + 1
+        if "lengths" in tables:
+            words = F.coalesce(F.sum(F.col("len_content") + F.col("len_heading")), F.lit(0))
+            tables = tables | {"stats": tables["lengths"].agg(F.count("*").alias("n"), words.cast("long").alias("words"))}
+        for name, df in tables.items():
+            out = df.select(*[c.strip().split()[0] for c in SCHEMAS[name].split(", ")])
+            key = SORTED.get(name)
+            if key:  # lookups read few row groups
+                out = out.repartitionByRange(key).sortWithinPartitions(key)
+            out.write.parquet(f"{self.root}/tables/{new}/{name}")
+            names[name] = f"tables/{new}/{name}"
+        fs, p = self._fs(f"{self.root}/pending-{new}")
         stream = fs.create(p, True)
-        stream.write(bytearray(new.encode()))
+        stream.write(bytearray(json.dumps(names).encode()))
         stream.close()
-        _, to = self._fs(f"{self.root}/CURRENT")
-        if fs.exists(to):
-            fs.delete(to, False)
-        fs.rename(p, to)
-        return new
-
-    def refresh(self, current: DataFrame, texts: DataFrame, embedder: Embedder | None = None, model: str = "", full: bool = False, overlap: int = 0, protect: DataFrame | None = None) -> dict:
+        if not fs.rename(p, self._fs(f"{self.root}/generation-{number:012d}")[1]):
+            raise RuntimeError("another run has written this generation")
+        return number
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Remove all but the last generations, and tables that none of those names."""
+        have = self.generations()
+        fs, top = self._fs(f"{self.root}/tables")
+        used = {at.split("/")[1] for g in have[-keep:] for at in self.named(g).values()}
+        for g in have[:-keep]:
+            fs.delete(self._fs(f"{self.root}/generation-{g:012d}")[1], False)
+        for x in fs.listStatus(top) if fs.exists(top) else ():
+            if x.getPath().getName() not in used:
+                fs.delete(x.getPath(), True)
+
+    def staged(self, df: DataFrame) -> DataFrame:
+        """`df` written once, for several readers; vacuum removes it."""
+        path = f"{self.root}/tables/staged-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def refresh(self, current: DataFrame, texts: DataFrame, embedder: Embedder | None = None, model: str = "", full: bool = False, overlap: int = 0, protect: DataFrame | None = None, retries: int = 0, workers: int | None = None) -> dict:
         """Bring the store up to the `current` catalog. `texts` (path, text, markdown) holds at least the changed files.
 
-        Unchanged files keep their chunks, postings and vectors. A chunk that could not be embedded for now marks its file for retry.
+        Unchanged files keep their chunks, postings and vectors. A chunk that could not be embedded for now, after `retries`, marks
+        its file for retry. At most `workers` requests for vectors are under way at once.
         """
         files, chunks, vectors, meta = (self.table(n) for n in ("files", "chunks", "embeddings", "meta"))
         diff = C.snapshot_diff(files, current, full, protect)
@@ -84,9 +122,7 @@ class Store:
         kept = C.survivors(chunks, diff)
         todo = texts.join(diff.where(F.col("action").isin("new", "changed")).select("path"), "path", "left_semi")
         fresh = K.markdown_chunks(todo.where("markdown")).unionByName(K.plain_chunks(todo.where("not markdown"))).withColumn("chunk_id", K.chunk_id())
-        new = f"{self.root}/staged-{uuid.uuid4().hex}"
-        fresh.write.parquet(f"{new}/chunks")
-        fresh = self.spark.read.parquet(f"{new}/chunks")
+        fresh = self.staged(fresh)
         stored = vectors.join(kept.select("chunk_id"), "chunk_id", "left_semi")
         stored = C.after_model_change(stored, meta, model)
         out_files = diff.where("action <> 'removed'").select("path").join(current, "path", "left")
@@ -95,8 +131,7 @@ class Store:
         if embedder is not None:
             rows = K.with_previous(fresh).where(F.length(strip(F.col("content"))) >= MIN_EMBED)
             rows = rows.select("chunk_id", embed_text(F.col("heading"), F.col("content"), F.col("previous"), overlap).alias("text"))
-            embedded(rows, embedder).write.parquet(f"{new}/vectors")
-            result = self.spark.read.parquet(f"{new}/vectors")
+            result = self.staged(embedded(rows.coalesce(workers) if workers else rows, embedder, retries))
             stored = stored.unionByName(result.where("status = 'ok'").select("chunk_id", "vector"))
             out_files = C.marked_for_retry(out_files, fresh, result.where("status = 'transient'"))
             done = result.where("status = 'ok'").count()
@@ -109,8 +144,6 @@ class Store:
         tables = {"files": out_files, "chunks": kept.unionByName(fresh.select(*kept.columns)), "embeddings": stored, "postings": index, "lengths": lengths, "meta": self._meta(meta, stamp.unionByName(more))}
         self.write(tables)
         n = fresh.count()
-        fs, p = self._fs(new)
-        fs.delete(p, True)
         return {"files": counts.get("new", 0) + counts.get("changed", 0), "removed": counts.get("removed", 0), "chunks": n, "embedded": done, "up_to_date": False}
 
     def _meta(self, old: DataFrame, new: DataFrame) -> DataFrame:

@@ -2,24 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.lexicon import tokenised
-
-
-def _folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir")
-    if base is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="quern-stream-")
-    return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
+from quern.session import shared_folder
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -45,7 +32,7 @@ def index_new_files(spark: SparkSession, source: str, target: str, checkpoint: s
 
 def indexed_by_stream(spark: SparkSession, source: str) -> DataFrame:
     """One row: chunks and content tokens that a run over all of `source` indexed. A second run finds nothing new."""
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     for _ in range(2):
         index_new_files(spark, source, f"{folder}/index", f"{folder}/checkpoint")
     t = spark.read.parquet(f"{folder}/index")

@@ -6,9 +6,13 @@ import pytest
 
 from quern import cli
 from quern.api import Config, Engine
-from quern.embedders import BATCH, Rejected, Unavailable, faulty_hash_embedder, hash_embedder, outcomes
+from quern.embedders import BATCH, Rejected, Unavailable, faulty_hash_embedder, hash_embedder, outcomes, plain_http, vectors_of
+from quern.operators import lexicon as L
+from quern.operators import ranking as R
 from quern.operators import vectors as V
+from quern.plans import queryparse as Q
 from quern.sources import readers
+from quern.sources.store import Store
 
 
 @pytest.fixture
@@ -50,6 +54,118 @@ def test_life_of_a_store(spark, corpus, tmp_path):
     assert e.store.table("files").count() == e.store.table("postings").count() == 0
 
 
+def test_index_reads_what_changed(spark, corpus, tmp_path, monkeypatch):
+    e = Engine(spark, str(tmp_path / "store"), Config(directories=(str(corpus),)), hash_embedder(8))
+    e.index()
+    before, read = e.store.named(), []
+    own = readers.read_bytes
+    monkeypatch.setattr(readers, "read_bytes", lambda spark, paths: read.extend(paths) or own(spark, paths))
+    assert e.index()["up_to_date"] and not read
+    after = e.store.named()
+    assert {n for n in after if after[n] != before[n]} == {"meta"}  # other tables are named again, not copied
+    (corpus / "a.md").write_text("# Lakes\nA heron again, and this time it stands in a lake for most of the day.")
+    e.index()
+    assert read == [str(corpus / "a.md")]
+
+
+def test_a_run_that_dies_leaves_the_generation_before(spark, corpus, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"), Config(directories=(str(corpus),)), None, commit=1)
+
+    class Died(Exception):
+        pass
+
+    read, calls = e.read, []
+
+    def dies(paths):
+        calls.append(paths)
+        if len(calls) == 3:
+            raise Died
+        return read(paths)
+
+    e.read = dies
+    with pytest.raises(Died):
+        e.index()
+    assert e.store.table("files").count() == e.store.table("chunks").count() == 2  # what was committed
+    e.read = read
+    again = e.index()
+    assert again["files"] == 1 and e.store.table("files").count() == 3
+    assert len(e.store.generations()) == 2  # older ones are removed
+
+
+def test_writers_cannot_share_a_generation(spark, tmp_path):
+    a, b = (Store(spark, str(tmp_path / "s")) for _ in range(2))
+    meta = spark.createDataFrame([("k", "v")], "key string, value string")
+    b.generations = lambda: []
+    a.write({"meta": meta})
+    with pytest.raises(RuntimeError):
+        b.write({"meta": meta})
+    assert a.table("meta").count() == 1
+
+
+def test_documents_and_images(spark, corpus, tmp_path):
+    (corpus / "t.csv").write_text("name,stone\nfirst,granite from the northern quarry and other places")
+    (corpus / "broken.doc").write_bytes(b"x")
+    (corpus / "away.pdf").write_bytes(b"x")
+    (corpus / "big.png").write_bytes(b"p" * 9000)
+    (corpus / "small.png").write_bytes(b"p" * 100)
+
+    def converter(content, suffix, ocr):
+        if suffix == ".pdf":
+            raise readers.ReaderUnavailable
+        raise ValueError
+
+    make = lambda images: Engine(spark, str(tmp_path / "store"), Config(directories=(str(corpus),), images=images), None, converter, lambda content, suffix, ocr: "A photograph of basalt columns beside the sea, with people.")
+    make(()).index()
+    e = make((str(corpus),))
+    e.index()
+    names = {r["path"].rsplit("/", 1)[1] for r in e.store.table("files").collect()}
+    assert names == {"a.md", "b.txt", ".hidden.txt", "t.csv", "broken.doc", "big.png"}
+    assert {h["path"].rsplit("/", 1)[1] for h in e.search("granite OR basalt").rows.collect()} == {".hidden.txt", "t.csv", "big.png"}
+
+
+QUERIES = ["heron", "heron water", '"slow water"', "wat*", "slow + wat*", "NEAR(heron water, 4)", "heron NOT bread", "heading : rivers", "^the", "(heron OR bread) AND water", "{heading content} : rivers OR salt", '""']
+
+
+def test_index_and_scan_agree(spark):
+    texts = ["The heron waits beside slow water, slow water", "bread and salt and water", "a heron begins", "Slow rivers. Water. A heron", "", "waterways: the heron, the bread"]
+    c = spark.createDataFrame([(k, f"/d{k % 2}/{k}.txt", 0, "Rivers" if k == 2 else "", t) for k, t in enumerate(texts)], "chunk_id long, file_path string, chunk_index int, heading string, content string")
+    lengths = L.document_lengths(c)
+    stats = lengths.selectExpr("count(*) as n", "sum(len_content + len_heading) as words")
+    index, rows = R.SearchIndex(L.postings(c), stats, c), L.tokenised(c)
+    for q in QUERIES:
+        for prefix in (None, "/d1"):
+            a, b = (sorted((r["chunk_id"], round(r["score"], 9)) for r in x.collect()) for x in (index.best(q, 10, prefix), R.run_query(rows, q, 10, prefix)))
+            assert a == b, q
+    assert index.best("heron AND (", 10) is None and index.search("heron", 0).count() == 0
+    assert {r["chunk_id"] for r in index.search("heron nothere").collect()} == {0, 2, 3, 5}
+    assert len(Q.parse("heron water").parts) == 2
+
+
+def test_replies_of_embedding_servers():
+    listed = json.dumps({"data": [{"index": 1, "embedding": [2.0]}, {"index": 0, "embedding": [1.0]}]})
+    assert vectors_of(listed, True) == [[1.0], [2.0]] and vectors_of('{"embeddings": [[3.0]]}', False) == [[3.0]]
+    for bad in ("<html>", "{}", "[]"):
+        with pytest.raises(Unavailable):
+            vectors_of(bad, True)
+    assert plain_http("http://a.example/v1") and not plain_http("https://a.example") and not plain_http("http://localhost:1")
+
+
+def test_search_tries_the_embedder_again(spark, corpus, tmp_path, monkeypatch):
+    monkeypatch.setattr("quern.embedders.time.sleep", lambda s: None)
+    failures = iter([True])
+    good = hash_embedder(8)
+
+    def flaky(texts):
+        if next(failures, False):
+            raise Unavailable
+        return good(texts)
+
+    e = Engine(spark, str(tmp_path / "store"), Config(directories=(str(corpus),)), good)
+    e.index()
+    e.embedder = flaky
+    assert e.search("heron", semantic=True).rows.first()["method"] == "semantic"
+
+
 def test_missing_root_is_protected(spark, corpus, tmp_path):
     e = Engine(spark, str(tmp_path / "store"), Config(directories=(str(corpus),)), None)
     e.index()
@@ -61,7 +177,7 @@ def test_missing_root_is_protected(spark, corpus, tmp_path):
 
 def test_transient_failures_mark_files(spark, corpus, tmp_path):
     (corpus / "e.txt").write_text("DOWN " + "words that wait for another run of the index " * 2)
-    e = Engine(spark, str(tmp_path / "store"), Config(directories=(str(corpus),)), faulty_hash_embedder(8))
+    e = Engine(spark, str(tmp_path / "store"), Config(directories=(str(corpus),)), faulty_hash_embedder(8), retries=0)
     e.index()
     marked = e.store.table("files").where("mtime_ns = -1").collect()
     assert [m["path"].rsplit("/", 1)[1] for m in marked] == ["e.txt"]
@@ -130,6 +246,8 @@ def test_cli(spark, corpus, tmp_path, capsys):
     assert cli.main([*home, "search", "granite"]) == 0
     assert ".hidden.txt" in capsys.readouterr().out
     assert cli.main([*home, "config", "set", "nope", "1"]) == 1
+    assert cli.main([*home, "config", "set", "workers", "1001"]) == 1 and cli.main([*home, "config", "set", "ocr_engine", "vision"]) == 0
+    assert cli.main([*home, "config", "set", "ocr_url", "http://a.example"]) == 0 and "HTTPS" in capsys.readouterr().err
     assert cli.main([*home, "status", "--json"]) == 0
     assert json.loads(capsys.readouterr().out)["files"] == 3
     assert cli.main([*home, "remove-dir", "notes"]) == 0

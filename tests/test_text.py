@@ -23,12 +23,12 @@ def pack(t, most=4000):
         return [t]
     out, cur = [], None
     for p in re.split(r"\n\n+", t):
-        if cur is not None and len(cur) + len(p) + 2 <= most:
+        if cur and len(cur) + len(p) + 2 <= most:
             cur += "\n\n" + p
         else:
-            out += [] if cur is None else [cur]
+            out += [cur] if cur else []
             cur = p
-    return [*out, cur]
+    return [x.strip() for x in [*out, cur]]
 
 
 def test_clip(spark):
@@ -41,7 +41,7 @@ def test_clip(spark):
 
 
 def test_pack(spark):
-    texts = ["x" * 9000, "a" * 3000 + "\n\n" + "b" * 3000, "\n\n".join("p%d " % k * 200 for k in range(12)), "short", ""]
+    texts = ["x" * 9000, "a" * 3000 + "\n\n" + "b" * 3000, "\n\n".join("p%d " % k * 200 for k in range(12)), "short", "", "  " + "c" * 3000 + " \n\n\t" + "d" * 3000 + "\n\n  \n\n" + "e" * 3990 + "  "]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(K.pack_paragraphs(F.col("t"))).collect()] == [pack(t) for t in texts]
 
