@@ -5,7 +5,7 @@ proximity of second-person words to lexicon words, and rates of capitals, punctu
 read whole texts and nothing but texts.
 
 Labels come only from rows whose crc32(doc_id as text) mod 5 is not 0, of which a sample of at most
-SAMPLE rows, least by hash of the id, is used. The rows of one half are described by the word beginnings mined from
+SAMPLE rows, least by hash of the id, is used, one for each id. The rows of one half are described by the word beginnings mined from
 the other half, so that no row judges a lexicon that it helped to make; three quarters of them grow the
 trees and a quarter calibrates. Documents are scored with the beginnings mined from all the sample.
 
@@ -30,10 +30,10 @@ from quern.llm.gbdt import Boosted, Isotonic
 
 #: Labelled rows that the model may learn from, at most.
 SAMPLE = 16_000
-#: Mined word beginnings, at most; lengths of them; documents that must hold one; least ratio of its occurrences a document.
-BEGINNINGS, LENGTHS, SUPPORT, RATIO = 2000, (3, 4, 5, 6, 7), 5, 12.0
-#: Occurrences of a beginning in one document that count.
-MOST_COUNTED = 10
+#: Share of words, over all rows, that every beginning is given beforehand on both sides.
+PRIOR = 0.02
+#: Lengths of mined word beginnings; toxic rows that must hold one; least ratio of its mean share of a row's words. All that pass are taken; SAMPLE bounds them.
+LENGTHS, SUPPORT, RATIO = (3, 4, 5, 6, 7), 5, 12.0
 #: Fixed lists.
 INSULTS = frozenset("idiot moron stupid dumb loser pathetic worthless disgusting trash scum clown fool ugly imbecile jerk filth vermin".split())
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
@@ -117,35 +117,44 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     few = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     few = few.select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     half = (F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))).cast("int").alias("half")
-    # at most `sample` rows of two numbers are broadcast
-    return settle(docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(few), "doc_id").select("text", "toxic", half))
+    few = few.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # at most `sample` rows of two numbers are broadcast; of rows that repeat an id the least text is learned from
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(few), "doc_id")
+    return settle(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic", half))
 
 
-def mined(sample: DataFrame, most: int = BEGINNINGS) -> dict[str, float]:
-    """Word beginnings that toxic rows hold far more often than others, with the logarithm of that ratio."""
+def mined(sample: DataFrame) -> dict[str, float]:
+    """Word beginnings whose mean share of a row's words is far larger in toxic rows than in others, with the logarithm of that ratio.
+
+    A share is of the row's own words, so a long row counts as much as a short one.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yes, no, held = Counter(), Counter(), Counter()
             for text, toxic in zip(pdf["text"], pdf["toxic"]):
                 own: Counter = Counter()
-                for w, n in Counter(text.lower().split()).items():
+                words = text.lower().split()
+                for w, n in Counter(words).items():
                     bare = _STRIP.sub("", w)
                     for k in LENGTHS:
                         if len(bare) >= k:
                             own[bare[:k]] += n
+                side = yes if toxic else no
                 for g, n in own.items():
-                    (yes if toxic else no)[g] += min(n, MOST_COUNTED)
+                    side[g] += n / len(words)
                 if toxic:
                     held.update(own.keys())
             keys = list(yes.keys() | no.keys())
-            yield pd.DataFrame({"g": keys, "yes": [yes[x] for x in keys], "no": [no[x] for x in keys], "held": [held[x] for x in keys]})
+            yield pd.DataFrame({"g": keys, "yes": [float(yes[x]) for x in keys], "no": [float(no[x]) for x in keys], "held": [held[x] for x in keys]})
 
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     p, n = totals.get(1, 0), totals.get(0, 0)
-    grams = sample.select("text", "toxic").mapInPandas(count, "g string, yes long, no long, held long").groupBy("g").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"), F.sum("held").alias("held"))
-    ratio = ((F.col("yes") + 0.5) / (p + 1)) / ((F.col("no") + 0.5) / (n + 1))
-    rows = grams.where(F.col("held") >= SUPPORT).withColumn("ratio", ratio).where(F.col("ratio") >= RATIO).orderBy(F.desc("yes"), "g").limit(most).collect()
+    # whole steps, so that sums do not depend on the order of rows
+    whole = lambda c: (F.sum(F.round(F.col(c) * 1e9).cast("long")) / 1e9).alias(c)
+    grams = sample.select("text", "toxic").mapInPandas(count, "g string, yes double, no double, held long").groupBy("g").agg(whole("yes"), whole("no"), F.sum("held").alias("held"))
+    ratio = ((F.col("yes") + PRIOR) / (p + 1)) / ((F.col("no") + PRIOR) / (n + 1))
+    rows = grams.where(F.col("held") >= SUPPORT).withColumn("ratio", ratio).where(F.col("ratio") >= RATIO).orderBy("g").collect()
     found = {r["g"]: float(np.log(r["ratio"])) for r in rows}
     # a longer beginning says more only where it is clearly the better sign
     return {g: v for g, v in found.items() if not any(found.get(g[:k], 0.0) >= v - 0.5 for k in LENGTHS if k < len(g))}
