@@ -11,6 +11,11 @@ sequence of tokens is an encoding exactly if each two neighbours are. So a state
 earlier position that a vocabulary entry may still span, the trie node reached from there, the token that
 ends there, and how many tokens lie before it, relative to here. That is a finite set; states are determinised on
 demand and kept in a table whose transitions carry the change of the token count.
+
+Long words are cut into chunks too. Their states are too many for whole maps, so a chunk's map is computed for the entry
+states that occur: all chunks run together from a guessed entry; then each takes its neighbour's exit for its entry and runs again
+only until it meets its former path, from where exit and counts are known. Where that does not settle soon, as in
+periodic texts, the chunks that are left are walked in order.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 CHUNK = 64
 #: Bytes of words that advance together.
 SLICE = 1 << 17
+#: Words of more bytes are cut into chunks of CHAIN bytes; after ROUNDS of exchanged states the rest is walked.
+LONG, CHAIN, ROUNDS = 2048, 256, 6
 
 
 def character_classes() -> np.ndarray:
@@ -234,15 +241,90 @@ class TokenCounter:
 
     def count(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Tokens of each word data[start : start + length]."""
-        out, upto = np.empty(len(start), np.int64), np.cumsum(length)
+        out = np.empty(len(start), np.int64)
+        for k in np.flatnonzero(length > LONG):
+            out[k] = self.long_word(data[start[k] : start[k] + length[k]])
+        short = np.flatnonzero(length <= LONG)
+        start, length = start[short], length[short]
+        upto = np.cumsum(length)
         cuts = [0, *np.unique(np.searchsorted(upto, np.arange(SLICE, int(length.sum()), SLICE))), len(start)]
         for a, b in zip(cuts, cuts[1:]):
             if len(self.keys) > self.most_states:  # a slice adds at most a state a byte
                 self.reset()
             if b > a:
-                out[a:b] = self.together(data, start[a:b], length[a:b])
+                out[short[a:b]] = self.together(data, start[a:b], length[a:b])
         return out
 
+    def long_word(self, data: np.ndarray) -> int:
+        """Tokens of one word, slice by slice."""
+        total, key = 0, self.keys[0]
+        for a in range(0, len(data), SLICE):
+            if len(self.keys) > self.most_states:
+                self.reset()
+            n, state = self.composed(data[a : a + SLICE], self.state(key))
+            total, key = total + n, self.keys[state]
+        return total
+
+    def composed(self, data: np.ndarray, state: int) -> tuple[int, int]:
+        """(tokens, exit state) of a slice of a word from an entry state, by maps of its chunks."""
+        chunks = len(data) // CHAIN
+        grid = np.ascontiguousarray(data[: chunks * CHAIN].reshape(chunks, CHAIN).T)
+        entry = np.zeros(chunks, np.int64)
+        entry[:1] = state
+        path, upto = np.empty((CHAIN, chunks), np.int64), np.empty((CHAIN, chunks), np.int64)
+        now, total = entry.copy(), np.zeros(chunks, np.int64)
+        for k, row in enumerate(grid):
+            now, change = self.advance(now, row)
+            total += change
+            path[k], upto[k] = now, total
+        wrong = np.zeros(0, np.int64)
+        for _ in range(ROUNDS):
+            want = np.concatenate(([state], path[-1, :-1]))[:chunks]
+            wrong = np.flatnonzero(want != entry)
+            if not len(wrong):
+                break
+            entry[wrong] = want[wrong]
+            own, now, total = wrong, want[wrong], np.zeros(len(wrong), np.int64)
+            for k in range(CHAIN):
+                now, change = self.advance(now, grid[k, own])
+                total = total + change
+                met = now == path[k, own]
+                if met.any():  # from here on the former path holds, with another count
+                    upto[k:, own[met]] += total[met] - upto[k, own[met]]
+                    own, now, total = own[~met], now[~met], total[~met]
+                    if not len(own):
+                        break
+                path[k, own], upto[k, own] = now, total
+        if len(wrong):
+            want = np.concatenate(([state], path[-1, :-1]))[:chunks]
+            wrong = np.flatnonzero(want != entry)
+        first = int(wrong[0]) if len(wrong) else chunks
+        count = int(upto[-1, :first].sum()) if chunks else 0
+        n, state = self.walk(data[first * CHAIN :], int(path[-1, first - 1]) if first else state)
+        return count + n, state
+
+    def walk(self, data: np.ndarray, state: int) -> tuple[int, int]:
+        """(tokens, exit state) of bytes from a state, one by one."""
+        total, known = 0, {}
+        for b in data.tolist():
+            v = known.get(state << 8 | b)
+            if v is None:
+                at, change = self.advance(np.array([state]), np.array([b], np.uint8))
+                v = known[state << 8 | b] = int(at[0]), int(change[0])
+            state = v[0]
+            total += v[1]
+        return total, state
+
+    def advance(self, state: np.ndarray, bytes_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, changes of the count)."""
+        c = self.column[bytes_]
+        v = self.table[state, c]
+        missing = np.flatnonzero((v < 0) | (c < 0))
+        if len(missing):
+            self.learn(state[missing], bytes_[missing])
+            v[missing] = self.table[state[missing], self.column[bytes_[missing]]]
+        return (v >> 8).astype(np.int64), (v & 255).astype(np.int64) - 128
+
     def together(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """The same; all words advance together, a byte a step."""
         order = np.argsort(-length, kind="stable")
@@ -250,15 +332,8 @@ class TokenCounter:
         state, total = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
         shorter = np.searchsorted(-length, -np.arange(1, int(length.max(initial=0)) + 1), side="right")
         for k, m in enumerate(shorter):
-            b = data[start[:m] + k]
-            c = self.column[b]
-            v = self.table[state[:m], c]
-            missing = np.flatnonzero((v < 0) | (c < 0))
-            if len(missing):
-                self.learn(state[missing], b[missing])
-                v[missing] = self.table[state[missing], self.column[b[missing]]]
-            state[:m] = v >> 8
-            total[:m] += (v & 255) - 128
+            state[:m], change = self.advance(state[:m], data[start[:m] + k])
+            total[:m] += change
         out = np.empty_like(total)
         out[order] = total
         return out
