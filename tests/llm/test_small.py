@@ -554,7 +554,7 @@ def test_pages(spark):
 
 def test_licenses(spark, empty):
     rows = [
-        (1, "code\nReleased under the MIT License.\nmore", "a"),
+        (1, "some lines of code here\nReleased under the MIT License.\nand some more lines", "a"),
         (2, "Licensed under the Apache License, Version 2.0.", "b"),
         (3, "nothing here", "b"),
         (4, "nothing here", "c"),
@@ -570,6 +570,24 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty, licenses.document_path()).count() == 0
 
 
+def test_license_files_headers_and_frequent_words(spark):
+    import textwrap
+
+    full = "MIT License\n\nCopyright (c) 2021 Jane Roe\n\n" + textwrap.fill(next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 500).replace("\n", " "), 60)
+    header = textwrap.fill("Licensed under the Apache License, Version 2.0.", 20)
+    rows = [
+        (1, full, "/r/LICENSE"), (2, "x = 1", "/r/src/a.py"), (3, f"some code\n\n{header}\n\nmore code " + "word " * 50_000, "/r/src/b.py"), (4, f"# tools\n{header}", "/q/COPYING"), (5, "y", "/q/z/w.py"),
+        (6, "This project is licensed under the MIT License.", "/p/a.txt"), (6, "This project is licensed under the MIT License.", "/p/a.txt"), (7, "", "/p/b.txt"),
+    ] + [(k, "this project is a file of words", f"/n/{k}.txt") for k in range(10, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    got = defaultdict(list)
+    for r in licenses.scan(docs, F.col("path")).collect():
+        got[r["doc_id"]].append((r["license"], r["basis"], r["from_directory"]))
+    assert got[1] == [("MIT", "file", None)] and got[2] == [("MIT", "inherited", "/r")]
+    assert got[3] == [("Apache-2.0", "header", None)] and got[4] == [("Apache-2.0", "file", None)] and got[5] == [("Apache-2.0", "inherited", "/q")]
+    assert [x[0] for x in got[6]] == ["MIT"] * 2 and all(got[k] == [(None, "none", None)] for k in range(10, 60))
+
+
 # Toxicity
 
 
