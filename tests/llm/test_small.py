@@ -432,12 +432,50 @@ def test_candidates():
     x = np.array([pii.describe(*m) for m in made])
     p = trained[1].apply(trained[0].margin(x))
     assert ((p >= 0.5) == y).mean() > 0.95
-    for text in ("write to joe [at] mail [dot] com today", "phone: (743) 555-3824 after six"):
+    for text in ("write to joe [at] mail [dot] com today", "phone: (743) 555-3824 after six", 'api_key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"'):
         assert len(pii.chosen(text, pii.base_spans(text), trained)) == 1
-    for text in ("released 2024-01-02 at 12:30:45", "order 5731080387325255 shipped", "version 1.2.3 of 10 20 30"):
+    for text in ("released 2024-01-02 at 12:30:45", "order 5731080387325255 shipped", "version 1.2.3 of 10 20 30", "see some-very-long-file-name-here-again", "=" * 40):
         assert pii.chosen(text, pii.base_spans(text), trained) == []
 
 
+def test_candidates_in_real_documents(spark):
+    """Recall in documents that no generator here wrote: their own tokens, numbers that two cards make together, and their addresses with the signs spelt out."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    trained = pii.fitted(docs)
+    texts = [r["text"] for r in docs.select("text").where("text is not null").collect()]
+    seen = Counter()
+    for t in texts:
+        base = pii.base_spans(t)
+        hits = {(a, b): k for k, a, b in pii.chosen(t, base, trained)}
+        for m in re.finditer(r'token = "([0-9a-f]{40})"', t):
+            seen["token"] += 1
+            seen["token found"] += hits.get(m.span(1)) == "secret"
+        own = [m.span() for m in re.finditer(r"(?<![0-9A-Za-z])[0-9]{14,19}(?![0-9A-Za-z])", t) if not any(x < m.end() and m.start() < y for _, x, y in base)]
+        for a, b in own:
+            seen["card" if pii.luhn(t[a:b]) else "number"] += 1
+            seen["card found" if pii.luhn(t[a:b]) else "number found"] += hits.get((a, b)) == "card"
+        for k, a, b in base:
+            if k == "email":
+                local, domain = t[a:b].split("@")
+                spelt = f"{t[:a]}{local} (at) {domain.replace('.', ' (dot) ')}{t[b:]}"
+                seen["email"] += 1
+                seen["email found"] += any(k == "email" and x <= a < y for k, x, y in pii.chosen(spelt, pii.base_spans(spelt), trained))
+        seen["others"] += sum(k not in ("secret", "card") for k in hits.values())
+    assert seen["token"] > 100 and seen["token found"] >= 0.95 * seen["token"]
+    assert seen["email"] > 100 and seen["email found"] >= 0.8 * seen["email"]
+    assert seen["number"] > 100 and seen["number found"] <= 0.02 * seen["number"] and seen["others"] <= 5
+    assert seen["card found"] >= 0.8 * seen["card"]
+    print(seen, trained[2])
+
+
+def test_generators_have_no_caps():
+    local, domain = "a" * 500, ".".join(["b" * 200] * 12)
+    text = f"x {local} [at] {domain} y"
+    assert ("email", 2, len(text) - 2) in pii.proposals(text)
+    assert len(pii.proposals("a" * 200_000 + " [at] " + "b" * 200_000)) == 2  # two long runs, no address
+    assert pii.threshold(np.array([0.9, 0.8, 0.8, 0.2]), np.array([1, 1, 0, 1]), 0.9) == 0.9 and pii.threshold(np.zeros(0), np.zeros(0)) > 1
+
+
 def test_pii_edge(spark, edge, empty):
     assert pii.find(edge).count() == len(EDGE) and pii.find(empty).count() == 0
     docs = table(spark, [(1, "é mail a@b.co and +1 555 010 9999 x", "a"), (2, None, "a")])
