@@ -3,7 +3,8 @@
 A frequent-items sketch (Misra-Gries counters, merged in two levels) proposes the digests that
 hold a large share of the rows. Their exact counts are then taken, and the verified winners, at
 most `tracked` rows, are broadcast so that their copies are settled map-side. Only the other
-digests are shuffled, so no shuffle key holds more than about 3.5 / `tracked` of the rows.
+digests are shuffled, so no shuffle key holds more than about 3.5 / `tracked` of the rows; they are counted
+map-side first, and no task holds a group: rows meet their group's one row of counts in a join that may be split.
 
 Everything is DataFrame code. Null texts count as empty. Rows with a null doc_id take part and
 rank below every other id. Of fully repeated rows exactly one is kept. An empty table gives an
@@ -65,14 +66,9 @@ def exact_groups(docs: DataFrame, tracked: int = TRACKED) -> DataFrame:
     else:
         winners = settle(verified_winners(base, tracked))
     heavy = base.join(F.broadcast(winners), "digest").select("doc_id", "uid", "digest", "n", "last")
-    w = Window.partitionBy("digest")
-    light = base.join(F.broadcast(winners.select("digest")), "digest", "left_anti").select(
-        "doc_id",
-        "uid",
-        "digest",
-        F.count("*").over(w).alias("n"),
-        F.max(F.struct("doc_id", "uid")).over(w).alias("last"),
-    )
+    light = base.join(F.broadcast(winners.select("digest")), "digest", "left_anti").select("doc_id", "uid", "digest")
+    sums = light.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "uid")).alias("last"))
+    light = light.join(sums, "digest").select("doc_id", "uid", "digest", "n", "last")
     return heavy.unionByName(light).select(
         "doc_id",
         F.col("last.doc_id").alias("keep_id"),

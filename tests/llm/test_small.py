@@ -62,6 +62,10 @@ def test_exact_edge(edge):
     assert exact_dedup.drop_copies(edge).columns == edge.columns
 
 
+def test_exact_empty(empty):
+    assert exact_dedup.exact_groups(empty).count() == 0 and exact_dedup.drop_copies(empty).columns == empty.columns
+
+
 def test_exact_hot(spark):
     """A third of all rows are one text; it goes through the broadcast path."""
     rows = [(k, "hot text" if k % 3 == 0 else f"text {k // 2}", "a") for k in range(6000)]
