@@ -420,6 +420,13 @@ def _(spark, sf):
     return _ranked(D.indexed(spark, sf).best("anea OR onat OR pour", 50))
 
 
+@query("stored_index_stats", f"WITH {D.TOKENISED} SELECT count(*) AS n, sum(len(ct) + len(ht))::BIGINT AS words, (SELECT count(*) FROM documents) AS chunks FROM t")
+def _(spark, sf):
+    """Builds the index if this session has none yet."""
+    index = D.indexed(spark, sf)
+    return index.stats.crossJoin(F.broadcast(index.chunks.agg(F.count("*").alias("chunks"))))  # one row each
+
+
 @query("bm25_scan", OR3)
 def _(spark, sf):
     """Without an index: one pass over the tokens of all chunks."""
