@@ -106,7 +106,7 @@ class Engine:
 
     def semantic(self, query: str, limit: int = 10, prefix: str | None = None, max_chars: int | None = None) -> DataFrame | None:
         """Nearest chunks; None where vectors are unavailable, nothing where the query can't be embedded."""
-        vectors, chunks = self.store.table("embeddings"), self.store.table("chunks")
+        vectors, chunks = self.store.table("units"), self.store.table("chunks")
         if self.embedder is None or vectors.isEmpty():
             return None
         try:
@@ -116,7 +116,7 @@ class Engine:
         except Rejected:
             vector = []
         allowed = chunks.where(F.col("file_path").startswith(prefix.rstrip("/") + "/")) if prefix else None
-        near = V.top_k(vectors, vector, limit, allowed).join(chunks, "chunk_id")
+        near = V.top_k_units(vectors, vector, limit, allowed).join(chunks, "chunk_id")
         return R.with_mtimes(R.shaped(near, "semantic", semantic_snippet(F.col("content"), max_chars)), self.store.table("files"))
 
     def search(self, query: str, limit: int = 10, semantic: bool = False, both: bool = False, strict: bool = False, prefix: str | None = None, max_chars: int | None = None) -> Hits:

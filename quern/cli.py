@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import subprocess
 import sys
 from pathlib import Path
 
@@ -14,6 +15,7 @@ from quern.api import Config, Engine
 from quern.embedders import hash_embedder, http_embedder, plain_http
 from quern.operators.catalog import root_named
 from quern.session import build_session
+from quern.sources.readers import vision_reader
 
 #: Settable keys and how their values are read.
 def bounded(least: int, most: int):
@@ -145,7 +147,12 @@ def main(argv: list[str] | None = None) -> int:
     folder = kept.get("store", str(home / "store"))
     url, kind, model = kept.get("embed_url", ""), kept.get("embed_kind", "hash"), kept.get("model", "hash-8")
     embedder = hash_embedder(8) if kind == "hash" else http_embedder(url, model, kept.get("embed_key", ""), kind == "listed")
-    engine = Engine(spark, folder, Config(**known), embedder)
+    images = None
+    if kept.get("ocr_engine") == "vision" and kept.get("ocr_url"):
+        command = kept.get("ocr_key_command", "")
+        key = subprocess.run(command, shell=True, capture_output=True, text=True, check=False).stdout.strip() if command else ""  # the user's own setting
+        images = vision_reader(kept["ocr_url"], kept.get("ocr_model", ""), key)
+    engine = Engine(spark, folder, Config(**known), embedder, image_text=images)
     if args.command == "remove-dir":
         root = root_named(roots, os.path.abspath(os.path.expanduser(args.path))) or root_named(roots, args.path)
         if root is None:

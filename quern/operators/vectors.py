@@ -46,6 +46,18 @@ def top_k(vectors: DataFrame, query: list[float], limit: int, allowed: DataFrame
     return rows.select("chunk_id", cosine(F.col("vector"), q).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(max(0, limit))
 
 
+def top_k_units(units: DataFrame, query: list[float], limit: int, allowed: DataFrame | None = None) -> DataFrame:
+    """The same over stored unit vectors (chunk_id, unit): one product each, without norms."""
+    length = float(np.sqrt(sum(float(x) ** 2 for x in query)))
+    q = F.array(*[F.lit(float(x) / length if length else 0.0) for x in query])
+    rows = units.where(F.size("unit") == len(query))
+    if allowed is not None:
+        rows = rows.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    if limit < 1 or not length:
+        rows = rows.limit(0)
+    return rows.select("chunk_id", dot(F.col("unit"), q).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(max(0, limit))
+
+
 def top_k_batch(vectors: DataFrame, query: list[float], limit: int) -> DataFrame:
     """The same by a matrix product on Arrow batches; each batch keeps its best `limit`."""
     q = np.asarray(query, np.float64)

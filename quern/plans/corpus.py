@@ -45,17 +45,23 @@ def searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenised(chunks(spark, sf_dir))
 
 
-def indexed(spark: SparkSession, sf_dir: str) -> SearchIndex:
-    """The stored index over all documents. The first query of a session that asks for it builds it; another state of the table gets another index."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    state = sorted((str(x.getPath()), x.getLen(), x.getModificationTime()) for x in fs.listStatus(path))
+def stored(spark: SparkSession, sf_dir: str) -> Store:
+    """The store over all documents and vectors. The first query of a session that asks for it builds it; another state of the tables gets another store."""
+    state = []
+    for name in ("documents", "embeddings"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        state += sorted((str(x.getPath()), x.getLen(), x.getModificationTime()) for x in fs.listStatus(path))
     key = (spark.sparkContext.applicationId, sf_dir, *state)
     if key not in _indexes:
         store, c = Store(spark, shared_folder(spark)), chunks(spark, sf_dir)
-        store.write({"chunks": c, "postings": postings(c), "lengths": document_lengths(c)})
+        store.write({"chunks": c, "postings": postings(c), "lengths": document_lengths(c), "embeddings": vectors(spark, sf_dir)})
         _indexes[key] = store
-    return _indexes[key].index()
+    return _indexes[key]
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    return stored(spark, sf_dir).index()
 
 
 def words_sql(x: str) -> str:

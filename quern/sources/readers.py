@@ -142,12 +142,52 @@ def image_as_jpeg(content: bytes, side: int = 1600, quality: int = 85) -> bytes:
     return out.getvalue()
 
 
-def vision_request(content: bytes, mime: str, model: str, prompt: str) -> dict:
+#: Kinds of image that go as they are where there is no imaging library, and their most bytes; replies that speak of the image itself.
+RAW_IMAGES = {".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".webp": "image/webp", ".gif": "image/gif"}
+MOST_RAW = 5 * 1024 * 1024
+IMAGE_REJECTED = (400, 413, 415, 422)
+PROMPT = "Write down all text in this image as it is, in Markdown. Keep tables and headings. Neither summarise nor comment. If there is no text, answer exactly: NO_TEXT"
+
+
+def sendable(content: bytes, suffix: str) -> tuple[bytes, str]:
+    """(bytes, media type) of an image for a request: scaled down as JPEG, or as it is if there is no imaging library and it is small and of a kind for the web."""
+    try:
+        return image_as_jpeg(content), "image/jpeg"
+    except ReaderUnavailable:
+        if suffix.lower() not in RAW_IMAGES or len(content) > MOST_RAW:
+            raise
+        return content, RAW_IMAGES[suffix.lower()]
+
+
+def vision_request(content: bytes, mime: str, model: str, prompt: str = PROMPT) -> dict:
     """Body of a chat completion that asks for an image's text."""
     import base64
 
     url = f"data:{mime};base64,{base64.b64encode(content).decode()}"
-    return {"model": model, "messages": [{"role": "user", "content": [{"type": "text", "text": prompt}, {"type": "image_url", "image_url": {"url": url}}]}]}
+    return {"model": model, "temperature": 0, "max_tokens": 4000, "messages": [{"role": "user", "content": [{"type": "text", "text": prompt}, {"type": "image_url", "image_url": {"url": url}}]}]}
+
+
+def vision_reader(url: str, model: str, key: str = "", timeout: float = 300.0) -> Converter:
+    """A reader of images by a vision model. An image that the server rejects is that image's error; any other failure is for another run."""
+
+    def read(content: bytes, suffix: str, ocr: bool) -> str:
+        import json
+        import urllib.error
+        import urllib.request
+
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+        body = json.dumps(vision_request(*sendable(content, suffix), model)).encode()
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url.rstrip("/") + "/chat/completions", data=body, headers=headers), timeout=timeout) as r:
+                return vision_text(r.read().decode("utf-8", "replace"))
+        except urllib.error.HTTPError as e:
+            if e.code in IMAGE_REJECTED:
+                raise ValueError(f"the server rejects the image: {e.code}") from e
+            raise ReaderUnavailable(f"the server answers {e.code}") from e
+        except OSError as e:
+            raise ReaderUnavailable(str(e)) from e
+
+    return read
 
 
 def vision_text(reply: str, nothing: str = "NO_TEXT") -> str:

@@ -18,12 +18,14 @@ from quern.functions.text import MAX_EMBED, MIN_EMBED, embed_text, iso_now, stri
 from quern.operators import catalog as C
 from quern.operators import chunking as K
 from quern.operators import lexicon as L
+from quern.operators import vectors as V
 from quern.operators.ranking import SearchIndex
 
 SCHEMAS = {
     "files": "path string, directory string, mtime_ns long, size long",
     "chunks": "chunk_id long, file_path string, chunk_index int, heading string, content string",
     "embeddings": "chunk_id long, vector array<float>",
+    "units": "chunk_id long, unit array<float>",
     "meta": "key string, value string",
     "postings": "term string, chunk_id long, col string, positions array<int>, tf long, length int",
     "stats": "n long, words long",
@@ -74,8 +76,10 @@ class Store:
         if "lengths" in tables:
             words = F.coalesce(F.sum(F.col("len_content") + F.col("len_heading")), F.lit(0))
             tables = tables | {"stats": tables["lengths"].agg(F.count("*").alias("n"), words.cast("long").alias("words"))}
+        if "embeddings" in tables:  # one generation names both, so unit vectors are never those of other vectors
+            tables = tables | {"units": V.normalised(tables["embeddings"])}
         for name, df in tables.items():
-            out = df.select(*[c.strip().split()[0] for c in SCHEMAS[name].split(", ")])
+            out = df.select(*[F.col(c).cast(kind).alias(c) for c, kind in (x.split(" ") for x in SCHEMAS[name].split(", "))])
             key = SORTED.get(name)
             if key:  # lookups read few row groups
                 out = out.repartitionByRange(key).sortWithinPartitions(key)

@@ -1,5 +1,6 @@
 """Indexing, search and upkeep from files to hits."""
 
+import base64
 import json
 
 import pytest
@@ -234,6 +235,38 @@ def test_vision():
             readers.vision_text(bad)
 
 
+def test_vision_reader():
+    import http.server
+    import threading
+
+    codes = {b"good": 200, b"odd": 422, b"busy": 503}
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            content = base64.b64decode(body["messages"][0]["content"][1]["image_url"]["url"].split(",")[1])
+            self.send_response(codes[content])
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": "read it" if self.headers["Authorization"] == "Bearer k" else "NO_TEXT"}}]}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    read = readers.vision_reader(url, "m", "k")
+    assert read(b"good", ".png", False) == "read it" and readers.vision_reader(url, "m")(b"good", ".png", False) == ""
+    with pytest.raises(ValueError):
+        read(b"odd", ".png", False)
+    for content, suffix in ((b"busy", ".png"), (b"good", ".tif"), (b"x" * (readers.MOST_RAW + 1), ".png")):
+        with pytest.raises(readers.ReaderUnavailable):
+            read(content, suffix, False)
+    server.shutdown()
+    with pytest.raises(readers.ReaderUnavailable):
+        readers.vision_reader("http://127.0.0.1:9", "m")(b"good", ".png", False)
+
+
 def test_cli(spark, corpus, tmp_path, capsys):
     home = ["--home", str(tmp_path / "home")]
     assert cli.main([*home, "add-dir", str(tmp_path / "none")]) == 1
