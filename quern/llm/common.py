@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names in spark.checkpoint.dir; only a local session without it gets a temporary one."""
+    """The folder the session names in spark.checkpoint.dir; only a local session without it gets a temporary one, removed at the end."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named is None:
@@ -26,6 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if sc.applicationId not in _own:
             _own[sc.applicationId] = tempfile.mkdtemp(prefix="quern-checkpoint-")
+            atexit.register(shutil.rmtree, _own[sc.applicationId], ignore_errors=True)
         named = _own[sc.applicationId]
     return named
 
