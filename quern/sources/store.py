@@ -73,18 +73,24 @@ class Store:
     def write(self, tables: dict[str, DataFrame]) -> int:
         """Write these tables and make a generation current that names them and the others as they were."""
         new, names, number = uuid.uuid4().hex, self.named(), (self.generations() or [0])[-1] + 1
-        if "lengths" in tables:
-            words = F.coalesce(F.sum(F.col("len_content") + F.col("len_heading")), F.lit(0))
-            tables = tables | {"stats": tables["lengths"].agg(F.count("*").alias("n"), words.cast("long").alias("words"))}
-        if "embeddings" in tables:  # one generation names both, so unit vectors are never those of other vectors
-            tables = tables | {"units": V.normalised(tables["embeddings"])}
-        for name, df in tables.items():
+
+        def put(name: str, df: DataFrame) -> DataFrame:
+            """Write a table, and read it again for what derives from it."""
             out = df.select(*[F.col(c).cast(kind).alias(c) for c, kind in (x.split(" ") for x in SCHEMAS[name].split(", "))])
             key = SORTED.get(name)
             if key:  # lookups read few row groups
                 out = out.repartitionByRange(key).sortWithinPartitions(key)
-            out.write.parquet(f"{self.root}/tables/{new}/{name}")
             names[name] = f"tables/{new}/{name}"
+            out.write.parquet(f"{self.root}/{names[name]}")
+            return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{names[name]}")
+
+        for name, df in tables.items():
+            done = put(name, df)
+            if name == "lengths":
+                words = F.coalesce(F.sum(F.col("len_content") + F.col("len_heading")), F.lit(0))
+                put("stats", done.agg(F.count("*").alias("n"), words.alias("words")))
+            if name == "embeddings":  # one generation names both, so unit vectors are never those of other vectors
+                put("units", V.normalised(done))
         fs, p = self._fs(f"{self.root}/pending-{new}")
         stream = fs.create(p, True)
         stream.write(bytearray(json.dumps(names).encode()))
