@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+#: A join key is heavy if it holds more than LEAST rows and more than 1 / HEAVY of them.
+HEAVY, LEAST = 4096, 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +64,23 @@ def maybe_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def spread_join(rows: DataFrame, one: DataFrame, key: str, how: str = "inner", total: int | None = None) -> DataFrame:
+    """`rows`, of which there are `total`, joined on `key` with `one`, which has at most one row of fixed width for a key. Both are read more than once.
+
+    Keys that hold more than LEAST rows and more than 1 / HEAVY of all are joined map-side; there are at most HEAVY of
+    them, so what is broadcast is bounded. So no shuffle key holds more than the larger of the two. `how` is inner or left.
+    """
+    total = rows.count() if total is None else total
+    if total <= LEAST:
+        return rows.join(one, key, how)
+    most = max(LEAST, total // HEAVY)
+    heavy = settle(rows.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > most).select(key))
+    if heavy.isEmpty():
+        return rows.join(one, key, how)
+    hot = rows.join(F.broadcast(settle(heavy.join(one, key, how))), key)
+    return hot.unionByName(rows.join(F.broadcast(heavy), key, "left_anti").join(one, key, how))
+
+
 def text_slices(column, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of neighbours in an Arrow string column that hold about `most` bytes together."""
     import pyarrow.compute as pc

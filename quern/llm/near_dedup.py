@@ -15,7 +15,8 @@
    and one shared key is enough at any size.
 5. The least doc_id of a component is its class.
 
-Leaders, fingerprints and links stay distributed. Null texts count as empty. Texts without a word are
+Leaders, fingerprints and links stay distributed. Joins on a key, leader, root or vertex that a large share of the rows
+may have in common take such keys map-side (`spread_join`) or deal a leader's pairs to several copies of it. Null texts count as empty. Texts without a word are
 alike only if they are equal. Rows without an id join classes but never name one unless all of its
 rows lack ids. Every row is a document, also one that repeats an id; of each class exactly one row is kept, the one with the
 least id, then the least digest of its text. An empty table gives an empty result;
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import bagminhash as B
-from quern.llm.common import maybe_broadcast, release_memory, settle, text_or_empty, text_slices
+from quern.llm.common import maybe_broadcast, release_memory, settle, spread_join, text_or_empty, text_slices
 
 SIMILAR = 0.8
 #: Bytes of text whose shingles are held at once.
@@ -42,6 +43,8 @@ BATCH = 1 << 19
 MARGIN = 0.12
 #: Rows, and shingles of rows, in a part of a mixed key.
 BUCKET, PART_ITEMS = 2048, 2_000_000
+#: Pairs of a leader that meet one copy of its multiset.
+LED = 512
 #: Bands that are settled together, in order; every band is in one group.
 GROUPS = (range(0, 3), range(3, 10), range(10, B.BANDS))
 #: Candidate pairs of a block beyond which overlaps are counted by one matrix product.
@@ -112,8 +115,18 @@ def multisets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Pairs (a, b) whose multisets are alike. Members' multisets are joined first; leaders, who may have many, last."""
-    both = pairs.join(items.select(F.col("v").alias("b"), F.col("items").alias("ib")), "b").join(items.select(F.col("v").alias("a"), F.col("items").alias("ia")), "a")
+    """Pairs (a, b) whose multisets are alike.
+
+    Members' multisets are joined first, leaders' last. A leader of more than LED pairs has a copy of its multiset for each LED of
+    them, so no task holds all pairs of a leader, and copies are fewer than the pairs by that factor.
+    """
+    many = settle(pairs.groupBy("a").agg(F.ceil(F.count("*") / LED).cast("long").alias("parts")).where("parts > 1"))
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    dealt = spread_join(pairs, many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).alias("part"))
+    members = items.select(F.col("v").alias("b"), F.col("items").alias("ib"))
+    leaders = items.select(F.col("v").alias("a"), F.col("items").alias("ia")).join(many, "a", "left")
+    leaders = leaders.select("a", "ia", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    both = dealt.join(members, "b").join(leaders, ["a", "part"])
     common = F.size(F.array_intersect("ia", "ib"))
     return both.select("a", "b", common.alias("common"), (F.size("ia") + F.size("ib")).alias("both")).where(F.col("common") >= F.lit(similar) * (F.col("both") - F.col("common"))).select("a", "b").distinct()
 
@@ -241,7 +254,7 @@ def _link_buckets(similar: float):
 def _led(rows: DataFrame) -> DataFrame:
     """(key, a, na, b, nb): each row of a key beside the key's least vertex."""
     leads = rows.groupBy("key").agg(F.min(F.struct("v", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1").select("key", F.col("lead.v").alias("a"), F.col("lead.n").alias("na"))
-    return rows.join(leads, "key").where("v != a").select("key", "a", "na", F.col("v").alias("b"), F.col("n").alias("nb"))
+    return spread_join(rows, settle(leads), "key").where("v != a").select("key", "a", "na", F.col("v").alias("b"), F.col("n").alias("nb"))
 
 
 def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -251,8 +264,8 @@ def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     keys = by_root.groupBy("key").agg(F.max(F.struct("c", "root", "w")).alias("top"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.count("*").alias("roots")).where("roots > 1")
     parts = lambda rows, items: F.ceil(F.greatest(rows / BUCKET, items / PART_ITEMS)).cast("long")
     keys = keys.select("key", F.col("top.root").alias("main"), parts(F.col("top.c"), F.col("top.w")).alias("main_parts"), parts(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w")).alias("other_parts"))
-    keys = settle(keys)
-    return held.select("v", "key", "root").join(maybe_broadcast(keys, keys.count(), BROADCAST_KEYS), "key")
+    keys, rows = settle(keys), held.select("v", "key", "root")
+    return rows.join(F.broadcast(keys), "key") if keys.count() <= BROADCAST_KEYS else spread_join(settle(rows), keys, "key")
 
 
 def _dealt(mixed: DataFrame) -> DataFrame:
@@ -271,13 +284,14 @@ def _dealt(mixed: DataFrame) -> DataFrame:
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     """(v, root) when the components of `roots` that `links` (a, b) connect are one."""
     to_a, to_b = roots.select(F.col("v").alias("a"), F.col("root").alias("x")), roots.select(F.col("v").alias("b"), F.col("root").alias("y"))
-    across = links.join(to_a, "a", "left").join(to_b, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+    n = links.count()
+    across = spread_join(spread_join(links, to_a, "a", "left", n), to_b, "b", "left", n).select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
     across = settle(across.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     if across.isEmpty():
         return roots
     more = components(across)
-    every = roots.unionByName(more.join(roots, "v", "left_anti").select("v", F.col("v").alias("root")))
-    return settle(every.join(more.select(F.col("v").alias("root"), F.col("root").alias("to")), "root", "left").select("v", F.coalesce("to", "root").alias("root")))
+    every = settle(roots.unionByName(more.join(roots, "v", "left_anti").select("v", F.col("v").alias("root"))))
+    return settle(spread_join(every, more.select(F.col("v").alias("root"), F.col("root").alias("to")), "root", "left").select("v", F.coalesce("to", "root").alias("root")))
 
 
 def grouped(docs: DataFrame, verts: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -302,18 +316,19 @@ def grouped(docs: DataFrame, verts: DataFrame, similar: float = SIMILAR) -> Data
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) for each end of an edge (a, b), by contraction to the least neighbour."""
-    roots = None
+    roots, n = None, edges.count()
     while True:
         both = edges.union(edges.select("b", "a")).toDF("v", "w")
         up = both.groupBy("v").agg(F.min("w").alias("p")).select("v", F.least("v", "p").alias("p"))
         up = settle(up)
         hop = up.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        up = settle(up.join(hop, "p", "left").select("v", F.coalesce("q", "p").alias("p")))
-        roots = up.select("v", F.col("p").alias("root")) if roots is None else roots.join(up.select(F.col("v").alias("root"), "p"), "root", "left").select("v", F.coalesce("p", "root").alias("root"))
+        up = settle(spread_join(up, hop, "p", "left").select("v", F.coalesce("q", "p").alias("p")))
+        roots = up.select("v", F.col("p").alias("root")) if roots is None else spread_join(roots, up.select(F.col("v").alias("root"), "p"), "root", "left").select("v", F.coalesce("p", "root").alias("root"))
         roots = settle(roots)
         to_a, to_b = up.select(F.col("v").alias("a"), F.col("p").alias("x")), up.select(F.col("v").alias("b"), F.col("p").alias("y"))
-        edges = settle(edges.join(to_a, "a").join(to_b, "b").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        if edges.isEmpty():
+        edges = settle(spread_join(spread_join(edges, to_a, "a", total=n), to_b, "b", total=n).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        n = edges.count()
+        if not n:
             return roots
 
 
@@ -322,11 +337,11 @@ def decided(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     base = signed(docs)
     verts = vertices(base)
     roots = grouped(docs, verts, similar)
-    of = verts.join(roots, "v", "left").select("v", "rid", "tkey", "uid", "copies", F.coalesce("root", "v").alias("root"))
+    of = settle(verts.join(roots, "v", "left").select("v", "rid", "tkey", "uid", "copies", F.coalesce("root", "v").alias("root")))
     first = F.min(F.struct(F.col("rid").isNull().alias("void"), "rid", "tkey", "uid"))
     sums = of.groupBy("root").agg(first.alias("first"), F.sum("copies").alias("class_size"))
-    named = settle(of.join(sums, "root").select("v", F.col("first.rid").alias("class_id"), F.col("first.uid").alias("keep"), "class_size"))
-    return base.join(named, "v").select("doc_id", "tkey", "class_id", "class_size", F.col("n").alias("n_shingles"), (F.col("uid") == F.col("keep")).alias("kept"))
+    named = settle(spread_join(of, settle(sums), "root").select("v", F.col("first.rid").alias("class_id"), F.col("first.uid").alias("keep"), "class_size"))
+    return spread_join(base.select("doc_id", "tkey", "uid", "v", "n"), named, "v").select("doc_id", "tkey", "class_id", "class_size", F.col("n").alias("n_shingles"), (F.col("uid") == F.col("keep")).alias("kept"))
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

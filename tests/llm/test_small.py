@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from oracle import SF, by_duckdb, by_spark
 from pyspark.sql import functions as F
 
-from quern.llm import bagminhash, exact_dedup, gbdt, html_extraction, html_tree, jpeg, licenses, media, mixing, near_dedup, packing, pii, queries, token_counts, token_fst, toxicity
+from quern.llm import bagminhash, common, exact_dedup, gbdt, html_extraction, html_tree, jpeg, licenses, media, mixing, near_dedup, packing, pii, queries, token_counts, token_fst, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, size string, v string"
 LONG = "wide river under slow bridges " * 4000
@@ -201,6 +201,37 @@ def test_near_copies_go_by_row(spark):
     assert Counter((r["doc_id"], r["text"]) for r in got) == Counter({(1, w): 1, (3, rows[2][1]): 1, (None, rows[4][1]): 1})
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_heavy_keys_are_joined_map_side(spark, monkeypatch, how):
+    monkeypatch.setattr(common, "LEAST", 3)
+    monkeypatch.setattr(common, "HEAVY", 6)
+    rows = spark.createDataFrame([(k % 7 if k % 2 else 100 + k % 4, k) for k in range(60)], "key long, x long")
+    one = spark.createDataFrame([(k, -k) for k in (0, 1, 3, 100)], "key long, y long")
+    got, want = common.spread_join(rows, one, "key", how), rows.join(one, "key", how)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 2
+    assert common.spread_join(rows.limit(0), one, "key", how).count() == 0
+
+
+def test_pairs_of_a_leader_are_dealt(spark, monkeypatch):
+    """Heavy leaders and roots, dealt and joined map-side, give the pairs and components of all rows."""
+    monkeypatch.setattr(common, "LEAST", 2)
+    monkeypatch.setattr(common, "HEAVY", 8)
+    monkeypatch.setattr(near_dedup, "LED", 3)
+    sets = {k: list(range(k % 5, 60 + 3 * (k % 5))) for k in range(14)}
+    name = lambda k: bytes([k])
+    pairs = [(0, k) for k in range(1, 12)] + [(1, k) for k in range(2, 5)] + [(12, 13)]
+    items = spark.createDataFrame([(name(k), x) for k, x in sets.items()], "v binary, items array<long>").cache()
+    both = spark.createDataFrame([(name(a), name(b)) for a, b in pairs], "a binary, b binary").cache()
+    alike = lambda a, b: len({*sets[a]} & {*sets[b]}) >= 0.9 * len({*sets[a]} | {*sets[b]})
+    want = sorted((name(a), name(b)) for a, b in pairs if alike(a, b))
+    assert 0 < len(want) < len(pairs)
+    assert sorted((bytes(x["a"]), bytes(x["b"])) for x in near_dedup.verified(both, items, 0.9).collect()) == want
+    roots = {bytes(x["v"]): bytes(x["root"]) for x in near_dedup.components(both).collect()}
+    assert roots == {name(k): name(0 if k < 12 else 12) for k in range(14)}
+
+
 def test_large_buckets_are_split(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BUCKET", 4)
     test_near_copies(spark)
