@@ -49,7 +49,7 @@ LED = 512
 GROUPS = (range(0, 3), range(3, 10), range(10, B.BANDS))
 #: Candidate pairs of a block beyond which overlaps are counted by one matrix product.
 MANY = 2000
-#: Mixed keys beyond this many are joined by a shuffle, not broadcast.
+#: Mixed keys, and leaders of more than LED pairs, beyond this many are joined by a shuffle, not broadcast.
 BROADCAST_KEYS = 50_000
 
 
@@ -122,9 +122,10 @@ def verified(pairs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> Da
     """
     many = settle(pairs.groupBy("a").agg(F.ceil(F.count("*") / LED).cast("long").alias("parts")).where("parts > 1"))
     parts = F.coalesce("parts", F.lit(1).cast("long"))
-    dealt = spread_join(pairs, many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).alias("part"))
+    few = many.count() <= BROADCAST_KEYS  # else multisets are shuffled once more
+    dealt = (pairs.join(F.broadcast(many), "a", "left") if few else spread_join(pairs, many, "a", "left")).select("a", "b", F.pmod(F.xxhash64("b"), parts).alias("part"))
     members = items.select(F.col("v").alias("b"), F.col("items").alias("ib"))
-    leaders = items.select(F.col("v").alias("a"), F.col("items").alias("ia")).join(many, "a", "left")
+    leaders = items.select(F.col("v").alias("a"), F.col("items").alias("ia")).join(F.broadcast(many) if few else many, "a", "left")
     leaders = leaders.select("a", "ia", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
     both = dealt.join(members, "b").join(leaders, ["a", "part"])
     common = F.size(F.array_intersect("ia", "ib"))

@@ -214,11 +214,13 @@ def test_heavy_keys_are_joined_map_side(spark, monkeypatch, how):
     assert common.spread_join(rows.limit(0), one, "key", how).count() == 0
 
 
-def test_pairs_of_a_leader_are_dealt(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", [0, 50])
+def test_pairs_of_a_leader_are_dealt(spark, monkeypatch, broadcast):
     """Heavy leaders and roots, dealt and joined map-side, give the pairs and components of all rows."""
     monkeypatch.setattr(common, "LEAST", 2)
     monkeypatch.setattr(common, "HEAVY", 8)
     monkeypatch.setattr(near_dedup, "LED", 3)
+    monkeypatch.setattr(near_dedup, "BROADCAST_KEYS", broadcast)
     sets = {k: list(range(k % 5, 60 + 3 * (k % 5))) for k in range(14)}
     name = lambda k: bytes([k])
     pairs = [(0, k) for k in range(1, 12)] + [(1, k) for k in range(2, 5)] + [(12, 13)]
