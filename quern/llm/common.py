@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,11 +36,47 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+class Passing:
+    """A scope: tables `written` in it are removed at its end, but for those to `keep`, which pass to the scope around it, if any."""
+
+    def __init__(self) -> None:
+        self.made: list[tuple[DataFrame, str]] = []
+        self.kept: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(df)
+        return df
+
+    def __enter__(self) -> Passing:
+        self.token = _scope.set(self)
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        _scope.reset(self.token)
+        for df, path in self.made:
+            if not any(df is x for x in self.kept):
+                sc = df.sparkSession.sparkContext
+                at = sc._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+            elif around := _scope.get():
+                around.made.append((df, path))
+
+
+_scope: ContextVar[Passing | None] = ContextVar("passing", default=None)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again."""
+    """`df` written as Parquet to the shared folder and read again; its size is that of the files.
+
+    A checkpoint keeps its plan's estimate, in which a join has the product of its inputs' sizes. Where joins of checkpoints
+    follow each other, the digits of that number double with each, up to the driver's memory; so such tables are written.
+    """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/quern-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if scope := _scope.get():
+        scope.made.append((out, path))
+    return out
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -74,10 +111,10 @@ def spread_join(rows: DataFrame, one: DataFrame, key: str, how: str = "inner", t
     if total <= LEAST:
         return rows.join(one, key, how)
     most = max(LEAST, total // HEAVY)
-    heavy = settle(rows.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > most).select(key))
+    heavy = written(rows.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > most).select(key))
     if heavy.isEmpty():
         return rows.join(one, key, how)
-    hot = rows.join(F.broadcast(settle(heavy.join(one, key, how))), key)
+    hot = rows.join(F.broadcast(written(heavy.join(one, key, how))), key)
     return hot.unionByName(rows.join(F.broadcast(heavy), key, "left_anti").join(one, key, how))
 
 

@@ -15,7 +15,7 @@
    and one shared key is enough at any size.
 5. The least doc_id of a component is its class.
 
-Leaders, fingerprints and links stay distributed. Joins on a key, leader, root or vertex that a large share of the rows
+Tables on the way are written as Parquet, so that the planner knows their size, and removed when they have been read. Leaders, fingerprints and links stay distributed. Joins on a key, leader, root or vertex that a large share of the rows
 may have in common take such keys map-side (`spread_join`) or deal a leader's pairs to several copies of it. Null texts count as empty. Texts without a word are
 alike only if they are equal. Rows without an id join classes but never name one unless all of its
 rows lack ids. Every row is a document, also one that repeats an id; of each class exactly one row is kept, the one with the
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import bagminhash as B
-from quern.llm.common import maybe_broadcast, release_memory, settle, spread_join, text_or_empty, text_slices
+from quern.llm.common import Passing, release_memory, settle, spread_join, text_or_empty, text_slices, written
 
 SIMILAR = 0.8
 #: Bytes of text whose shingles are held at once.
@@ -51,6 +51,8 @@ GROUPS = (range(0, 3), range(3, 10), range(10, B.BANDS))
 MANY = 2000
 #: Mixed keys, and leaders of more than LED pairs, beyond this many are joined by a shuffle, not broadcast.
 BROADCAST_KEYS = 50_000
+#: Edges up to which components are found in one task; more are contracted first.
+FEW = 16_384
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,14 +98,14 @@ def signed(docs: DataFrame) -> DataFrame:
     """(doc_id, tkey, uid, v, n, sig, bands) of every row: v is its vertex, tkey a digest of its text, uid tells fully repeated rows apart."""
     t = docs.select("doc_id", text_or_empty().alias("text")).withColumn("tkey", F.unhex(F.md5("text"))).withColumn("uid", F.monotonically_increasing_id())
     kind = dict(docs.dtypes)["doc_id"]
-    return settle(t.mapInArrow(_sign, f"doc_id {kind}, tkey binary, uid long, v binary, n long, sig binary, bands array<long>"))
+    return written(t.mapInArrow(_sign, f"doc_id {kind}, tkey binary, uid long, v binary, n long, sig binary, bands array<long>"))
 
 
 def vertices(base: DataFrame) -> DataFrame:
     """One row per vertex: v, n, sig, bands, copies, and rid (least id), tkey and uid of its first row."""
     one = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "tkey", "uid"))
     t = base.groupBy("v").agg(one.alias("one"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    return settle(t.select("v", "n", "sig", "bands", "copies", F.col("one.doc_id").alias("rid"), F.col("one.tkey").alias("tkey"), F.col("one.uid").alias("uid")))
+    return written(t.select("v", "n", "sig", "bands", "copies", F.col("one.doc_id").alias("rid"), F.col("one.tkey").alias("tkey"), F.col("one.uid").alias("uid")))
 
 
 def multisets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -120,7 +122,7 @@ def verified(pairs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> Da
     Members' multisets are joined first, leaders' last. A leader of more than LED pairs has a copy of its multiset for each LED of
     them, so no task holds all pairs of a leader, and copies are fewer than the pairs by that factor.
     """
-    many = settle(pairs.groupBy("a").agg(F.ceil(F.count("*") / LED).cast("long").alias("parts")).where("parts > 1"))
+    many = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / LED).cast("long").alias("parts")).where("parts > 1"))
     parts = F.coalesce("parts", F.lit(1).cast("long"))
     few = many.count() <= BROADCAST_KEYS  # else multisets are shuffled once more
     dealt = (pairs.join(F.broadcast(many), "a", "left") if few else spread_join(pairs, many, "a", "left")).select("a", "b", F.pmod(F.xxhash64("b"), parts).alias("part"))
@@ -255,7 +257,7 @@ def _link_buckets(similar: float):
 def _led(rows: DataFrame) -> DataFrame:
     """(key, a, na, b, nb): each row of a key beside the key's least vertex."""
     leads = rows.groupBy("key").agg(F.min(F.struct("v", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1").select("key", F.col("lead.v").alias("a"), F.col("lead.n").alias("na"))
-    return spread_join(rows, settle(leads), "key").where("v != a").select("key", "a", "na", F.col("v").alias("b"), F.col("n").alias("nb"))
+    return spread_join(rows, written(leads), "key").where("v != a").select("key", "a", "na", F.col("v").alias("b"), F.col("n").alias("nb"))
 
 
 def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -265,8 +267,8 @@ def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     keys = by_root.groupBy("key").agg(F.max(F.struct("c", "root", "w")).alias("top"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.count("*").alias("roots")).where("roots > 1")
     parts = lambda rows, items: F.ceil(F.greatest(rows / BUCKET, items / PART_ITEMS)).cast("long")
     keys = keys.select("key", F.col("top.root").alias("main"), parts(F.col("top.c"), F.col("top.w")).alias("main_parts"), parts(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w")).alias("other_parts"))
-    keys, rows = settle(keys), held.select("v", "key", "root")
-    return rows.join(F.broadcast(keys), "key") if keys.count() <= BROADCAST_KEYS else spread_join(settle(rows), keys, "key")
+    keys, rows = written(keys), held.select("v", "key", "root")
+    return rows.join(F.broadcast(keys), "key") if keys.count() <= BROADCAST_KEYS else spread_join(written(rows), keys, "key")
 
 
 def _dealt(mixed: DataFrame) -> DataFrame:
@@ -287,62 +289,89 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     to_a, to_b = roots.select(F.col("v").alias("a"), F.col("root").alias("x")), roots.select(F.col("v").alias("b"), F.col("root").alias("y"))
     n = links.count()
     across = spread_join(spread_join(links, to_a, "a", "left", n), to_b, "b", "left", n).select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
-    across = settle(across.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    across = written(across.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     if across.isEmpty():
         return roots
     more = components(across)
-    every = settle(roots.unionByName(more.join(roots, "v", "left_anti").select("v", F.col("v").alias("root"))))
-    return settle(spread_join(every, more.select(F.col("v").alias("root"), F.col("root").alias("to")), "root", "left").select("v", F.coalesce("to", "root").alias("root")))
+    every = written(roots.unionByName(more.join(roots, "v", "left_anti").select("v", F.col("v").alias("root"))))
+    return written(spread_join(every, more.select(F.col("v").alias("root"), F.col("root").alias("to")), "root", "left").select("v", F.coalesce("to", "root").alias("root")))
 
 
 def grouped(docs: DataFrame, verts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(v, root) of every vertex that has a link."""
     full = verts.where("n > 0")
-    led = settle(_led(full.select("v", "n", F.explode("bands").alias("key"))))
-    first = settle(led.where(F.least("na", "nb") >= F.lit(similar) * F.greatest("na", "nb")).select("a", "b").distinct())
-    who = led.select(F.col("a").alias("v")).union(led.select(F.col("b").alias("v"))).distinct()
-    shared = settle(verts.join(who, "v", "left_semi").select("v", "n", "sig", "bands", "rid", "tkey"))
-    items = settle(multisets(docs, shared.select("v", "rid", "tkey")))
-    roots = components(settle(verified(first, items, similar)))
-    for bands in GROUPS:
-        members = shared.select("v", "n", F.explode(F.slice("bands", bands.start + 1, len(bands))).alias("key"))
-        mixed = settle(_mixed(members, roots))
-        if mixed.isEmpty():
-            continue
-        dealt = _dealt(mixed).join(shared.select("v", "sig"), "v").join(items, "v").repartition("key").sortWithinPartitions("key", "v")
-        links = dealt.select("key", "v", "sig", "root", "items").mapInArrow(_link_buckets(similar), "a binary, b binary")
-        roots = _joined(roots, settle(links))
-    return roots
+    with Passing() as whole:
+        with Passing() as part:
+            led = written(_led(full.select("v", "n", F.explode("bands").alias("key"))))
+            first = part.keep(written(led.where(F.least("na", "nb") >= F.lit(similar) * F.greatest("na", "nb")).select("a", "b").distinct()))
+            who = led.select(F.col("a").alias("v")).union(led.select(F.col("b").alias("v"))).distinct()
+            shared = part.keep(written(verts.join(who, "v", "left_semi").select("v", "n", "sig", "bands", "rid", "tkey")))
+        items = settle(multisets(docs, shared.select("v", "rid", "tkey")))  # read row by row, however long
+        roots = components(written(verified(first, items, similar)))
+        for bands in GROUPS:
+            with Passing() as part:
+                members = shared.select("v", "n", F.explode(F.slice("bands", bands.start + 1, len(bands))).alias("key"))
+                mixed = written(_mixed(members, roots))
+                if mixed.isEmpty():
+                    continue
+                dealt = _dealt(mixed).join(shared.select("v", "sig"), "v").join(items, "v").repartition("key").sortWithinPartitions("key", "v")
+                links = dealt.select("key", "v", "sig", "root", "items").mapInArrow(_link_buckets(similar), "a binary, b binary")
+                roots = part.keep(_joined(roots, written(links)))
+        return whole.keep(roots)
+
+
+def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, root) of the ends of all edges (a, b) of one task."""
+    edges = [e for batch in batches for e in zip(*(batch.column(c).to_pylist() for c in ("a", "b")))]
+    ends = sorted({v for e in edges for v in e})
+    number, up = {v: k for k, v in enumerate(ends)}, list(range(len(ends)))
+
+    def of(k: int) -> int:
+        while up[k] != k:
+            up[k] = k = up[up[k]]
+        return k
+
+    for a, b in edges:
+        x, y = of(number[a]), of(number[b])
+        up[max(x, y)] = min(x, y)
+    yield pa.RecordBatch.from_arrays([pa.array(ends, pa.binary()), pa.array([ends[of(k)] for k in range(len(ends))], pa.binary())], ["v", "root"])
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, root) for each end of an edge (a, b), by contraction to the least neighbour."""
+    """(v, root) for each end of an edge (a, b), by contraction to the least neighbour until there are FEW edges."""
     roots, n = None, edges.count()
-    while True:
-        both = edges.union(edges.select("b", "a")).toDF("v", "w")
-        up = both.groupBy("v").agg(F.min("w").alias("p")).select("v", F.least("v", "p").alias("p"))
-        up = settle(up)
-        hop = up.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        up = settle(spread_join(up, hop, "p", "left").select("v", F.coalesce("q", "p").alias("p")))
-        roots = up.select("v", F.col("p").alias("root")) if roots is None else spread_join(roots, up.select(F.col("v").alias("root"), "p"), "root", "left").select("v", F.coalesce("p", "root").alias("root"))
-        roots = settle(roots)
-        to_a, to_b = up.select(F.col("v").alias("a"), F.col("p").alias("x")), up.select(F.col("v").alias("b"), F.col("p").alias("y"))
-        edges = settle(spread_join(spread_join(edges, to_a, "a", total=n), to_b, "b", total=n).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        n = edges.count()
-        if not n:
-            return roots
+    with Passing() as whole:
+        while True:
+            if n <= FEW:
+                up = written(edges.coalesce(1).mapInArrow(_least, "v binary, root binary")).select("v", F.col("root").alias("p"))
+            else:
+                both = edges.union(edges.select("b", "a")).toDF("v", "w")
+                up = both.groupBy("v").agg(F.min("w").alias("p")).select("v", F.least("v", "p").alias("p"))
+                up = written(up)
+                hop = up.select(F.col("v").alias("p"), F.col("p").alias("q"))
+                up = written(spread_join(up, hop, "p", "left").select("v", F.coalesce("q", "p").alias("p")))
+            roots = up.select("v", F.col("p").alias("root")) if roots is None else spread_join(roots, up.select(F.col("v").alias("root"), "p"), "root", "left").select("v", F.coalesce("p", "root").alias("root"))
+            roots = written(roots)
+            if n <= FEW:
+                return whole.keep(roots)
+            to_a, to_b = up.select(F.col("v").alias("a"), F.col("p").alias("x")), up.select(F.col("v").alias("b"), F.col("p").alias("y"))
+            edges = written(spread_join(spread_join(edges, to_a, "a", total=n), to_b, "b", total=n).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+            n = edges.count()
+            if not n:
+                return whole.keep(roots)
 
 
 def decided(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One row per row of `docs`: doc_id, tkey, class_id, class_size, n_shingles and kept, true once in a class."""
-    base = signed(docs)
-    verts = vertices(base)
-    roots = grouped(docs, verts, similar)
-    of = settle(verts.join(roots, "v", "left").select("v", "rid", "tkey", "uid", "copies", F.coalesce("root", "v").alias("root")))
-    first = F.min(F.struct(F.col("rid").isNull().alias("void"), "rid", "tkey", "uid"))
-    sums = of.groupBy("root").agg(first.alias("first"), F.sum("copies").alias("class_size"))
-    named = settle(spread_join(of, settle(sums), "root").select("v", F.col("first.rid").alias("class_id"), F.col("first.uid").alias("keep"), "class_size"))
-    return spread_join(base.select("doc_id", "tkey", "uid", "v", "n"), named, "v").select("doc_id", "tkey", "class_id", "class_size", F.col("n").alias("n_shingles"), (F.col("uid") == F.col("keep")).alias("kept"))
+    with Passing() as whole:
+        base = signed(docs)
+        verts = vertices(base)
+        roots = grouped(docs, verts, similar)
+        of = written(verts.join(roots, "v", "left").select("v", "rid", "tkey", "uid", "copies", F.coalesce("root", "v").alias("root")))
+        first = F.min(F.struct(F.col("rid").isNull().alias("void"), "rid", "tkey", "uid"))
+        sums = of.groupBy("root").agg(first.alias("first"), F.sum("copies").alias("class_size"))
+        named = written(spread_join(of, written(sums), "root").select("v", F.col("first.rid").alias("class_id"), F.col("first.uid").alias("keep"), "class_size"))
+        return whole.keep(written(spread_join(base.select("doc_id", "tkey", "uid", "v", "n"), named, "v").select("doc_id", "tkey", "class_id", "class_size", F.col("n").alias("n_shingles"), (F.col("uid") == F.col("keep")).alias("kept"))))
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -352,8 +381,9 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of `docs` that stay, one of each class. The decision is on rows, so another text under a dropped id stays."""
-    rows = decided(docs, similar).groupBy("doc_id", "tkey").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    keep = settle(rows.where("kept").select(F.col("doc_id").alias("keep_id"), F.col("tkey").alias("keep_tkey"), "n"))
+    with Passing() as whole:
+        rows = decided(docs, similar).groupBy("doc_id", "tkey").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+        keep = whole.keep(written(rows.where("kept").select(F.col("doc_id").alias("keep_id"), F.col("tkey").alias("keep_tkey"), "n")))
     own = docs.select(F.struct("*").alias("row"), "doc_id", F.unhex(F.md5(text_or_empty())).alias("tkey"))
     same = (F.col("tkey") == F.col("keep_tkey")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
     out = own.join(keep.where("n = 1"), same, "left_semi").select("row.*")

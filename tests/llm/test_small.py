@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -234,6 +235,33 @@ def test_pairs_of_a_leader_are_dealt(spark, monkeypatch, broadcast):
     assert roots == {name(k): name(0 if k < 12 else 12) for k in range(14)}
 
 
+@pytest.mark.parametrize("few", [0, 16_384])
+def test_tables_of_near_dedup_keep_their_real_size(spark, monkeypatch, few):
+    """Joins in a loop do not square the size that the planner takes for a table, which once had megabytes of digits."""
+    monkeypatch.setattr(common, "LEAST", 2)
+    monkeypatch.setattr(common, "HEAVY", 8)
+    monkeypatch.setattr(near_dedup, "FEW", few, raising=False)
+    name = lambda k: int(k).to_bytes(2, "big")
+    order = np.random.default_rng(5).permutation(200)
+    line = [(name(a), name(b)) for a, b in zip(order[:120], order[1:120])] + [(name(order[120]), name(k)) for k in order[121:]]
+    edges = spark.createDataFrame([(min(e), max(e)) for e in line], "a binary, b binary").cache()
+    roots = near_dedup.components(edges)
+    assert {bytes(x["v"]): bytes(x["root"]) for x in roots.collect()} == {name(k): name(min(group)) for group in (order[:120], order[120:]) for k in group}
+    size = roots._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert size < 1 << 40
+
+
+def test_near_dedup_leaves_only_its_result(spark):
+    """Tables on the way are removed by the operator, not when the driver happens to collect garbage."""
+    folder = Path(common.shared_folder(spark).removeprefix("file://"))
+    before = set(folder.glob("quern-*"))
+    words = [f"w{k}" for k in range(80)]
+    rows = [(k, " ".join([*words[:k], "changed", *words[k + 1 :]]), "a") for k in range(0, 12, 4)] + [(99, "another text of some words", "b")]
+    got = near_dedup.classes(table(spark, rows))
+    assert len(set(folder.glob("quern-*")) - before) == 1
+    assert {x["doc_id"]: x["class_id"] for x in got.collect()} == {0: 0, 4: 0, 8: 0, 99: 99}
+
+
 def test_large_buckets_are_split(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BUCKET", 4)
     test_near_copies(spark)
