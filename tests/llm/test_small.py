@@ -262,6 +262,17 @@ def test_near_dedup_leaves_only_its_result(spark):
     assert {x["doc_id"]: x["class_id"] for x in got.collect()} == {0: 0, 4: 0, 8: 0, 99: 99}
 
 
+def test_dropping_near_copies_leaves_only_its_decisions(spark):
+    """The pipeline's stage removes what it wrote before its next stage runs, but for the ids that it keeps."""
+    folder = Path(common.shared_folder(spark).removeprefix("file://"))
+    before = set(folder.glob("quern-*"))
+    words = [f"w{k}" for k in range(80)]
+    got = near_dedup.drop_near_copies(table(spark, [(k, " ".join([*words[:k], "changed", *words[k + 1 :]]), "a") for k in (0, 4, 8)]))
+    left = set(folder.glob("quern-*")) - before
+    assert len(left) == 1 and "keep_id" in spark.read.parquet(str(left.pop())).columns
+    assert [r["doc_id"] for r in got.collect()] == [0]
+
+
 def test_large_buckets_are_split(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BUCKET", 4)
     test_near_copies(spark)
