@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,6 +80,20 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """What runs inside sends at most so many rows to a Python worker at once; JVM and worker hold a batch of whole texts each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if 0 < int(before) < most:
+        most = int(before)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` with a reliable checkpoint.
 
@@ -133,16 +148,22 @@ def text_slices(column, most: int) -> Iterator[tuple[int, int]]:
         yield a, len(sizes)
 
 
+def trim_memory() -> None:
+    """Give freed memory back to the system, which the C library keeps otherwise."""
+    import ctypes
+
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def release_memory() -> None:
     """Give memory that a Python worker no longer uses back to the system, since idle workers stay."""
-    import ctypes
     import gc
 
     import pyarrow as pa
 
     gc.collect()
     pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):
-        pass  # another C library
+    trim_memory()

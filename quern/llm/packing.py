@@ -25,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import release_memory, text_or_empty, written
+from quern.llm.common import arrow_rows, release_memory, text_or_empty, text_slices, trim_memory, written
 from quern.llm.token_fst import byte_alphabet
 
 WINDOW = 4096
@@ -37,8 +38,8 @@ END_ID = 2
 RANGE_IDS = SHARD_IDS = 1_000_000
 #: Ranges for each shuffle partition that the session is set to, at most.
 RANGES = 4
-#: Characters that are tokenised at once.
-BATCH = 1 << 22
+#: Bytes of text that are tokenised at once, and rows that an executor holds for a Python worker at once.
+BATCH, ROWS = 1 << 22, 1024
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -51,7 +52,7 @@ class WordTokenizer:
     """
 
     #: Bytes of distinct runs that are kept, about, before all are forgotten, with ROOM for the entry of each.
-    MOST_BYTES, ROOM = 64 << 20, 160
+    MOST_BYTES, ROOM = 32 << 20, 160
     #: Dotted capital I is the one character here whose lower case is longer.
     PLAIN = re.compile("[^\t-\r -\x7e\xa0-\u012f\u0131-\u024f\u2010-\u2027]")
     BLANK, LETTER, NUMBER, OTHER, END = range(5)
@@ -114,11 +115,9 @@ class WordTokenizer:
 
     def runs(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(distinct runs, number of each run in order, runs in each text). A run is of letters, of numbers or of others; beside an apostrophe nothing is cut."""
-        import pyarrow as pa
-
         joined = ("\0".join(texts) + "\0").lower()
         raw = np.frombuffer(joined.encode(), np.uint8)
-        points = raw if joined.isascii() else np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        points = raw if joined.isascii() else np.frombuffer(joined.encode("utf-16-le"), np.uint16)
         kind = self.kind[points]
         shown = (kind != self.BLANK) & (kind != self.END)
         begins = shown.copy()
@@ -135,11 +134,14 @@ class WordTokenizer:
         else:
             width = (1 + (points > 0x7F).astype(np.uint8) + (points > 0x7FF)).astype(np.uint8)
             data, own = raw[np.repeat(shown, width)], width[shown]
-            place = (np.cumsum(own, dtype=np.int64) - own)[starts]
+            wide, place = np.flatnonzero(own > 1), np.flatnonzero(starts)
+            place += np.concatenate(([0], np.cumsum(own[wide] - 1, dtype=np.int64)))[np.searchsorted(wide, place)]
+            del width, own, wide
+        del joined, raw, points, shown, starts
         offsets = np.append(place, len(data)).astype(np.int32)
         found = pa.StringArray.from_buffers(len(place), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
-        upto = np.concatenate(([0], np.cumsum(begins, dtype=np.int64)[kind == self.END]))
-        return found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False), np.diff(upto)
+        upto = np.searchsorted(np.flatnonzero(begins), np.flatnonzero(kind == self.END))
+        return found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False), np.diff(upto, prepend=0)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without special tokens added."""
@@ -159,7 +161,10 @@ class WordTokenizer:
             at = at[order]
             first, n = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
             upto = np.concatenate(([0], np.cumsum(n)))
-            ids = self.flat[np.repeat(first - upto[:-1], n) + np.arange(int(upto[-1]))]
+            spot = np.repeat(first - upto[:-1], n)
+            spot += np.arange(len(spot))
+            ids = self.flat[spot]
+            del at, order, first, n, spot
             cuts = upto[np.concatenate(([0], np.cumsum(count)))]
             for k, a, b in zip(own, cuts, cuts[1:]):
                 out[k] = ids[a:b]
@@ -304,32 +309,30 @@ ITEMS = "key long, doc_id long, start long, length long, doc_tokens long, crc lo
 def items_of(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Rows by ITEMS: whole windows of long documents have no ids, and their key only spreads them; the rests have ids."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
-        for pdf in batches:
-            texts, ids_of = pdf["text"].tolist(), pdf["doc_id"].astype("Int64").tolist()
-            a = total = 0
-            for b in range(len(texts) + 1):
-                if b > a and (b == len(texts) or total + len(texts[b]) > BATCH):
-                    out, rests = [], []
-                    for doc_id, ids in zip(ids_of[a:b], tok.encode(texts[a:b])):
-                        ids = np.append(ids, np.uint16(end_id))
-                        for start in range(0, len(ids), window):
-                            p = ids[start : start + window]
-                            check = crc(p)
-                            if len(p) == window:
-                                out.append((check << 16 | start >> 12 & 0xFFFF, doc_id, start, window, len(ids), check, None))
-                            else:
-                                rests.append((doc_id, start, len(p), len(ids), check, p))
-                    keys = lexical_keys([r[-1] for r in rests], end_id).tolist() if rests else []
-                    out += [(key, *r[:-1], r[-1].astype("<u2").tobytes()) for key, r in zip(keys, rests)]
-                    yield pd.DataFrame(out, columns=[c.split()[0] for c in ITEMS.split(", ")]).astype({"doc_id": "Int64"})
-                    a, total = b, 0
-                total += len(texts[b]) if b < len(texts) else 0
+        for batch in batches:
+            column, doc_ids = batch.column("text"), batch.column("doc_id")
+            for a, b in text_slices(column, BATCH):
+                out, rests = [], []
+                for doc_id, ids in zip(doc_ids.slice(a, b - a).to_pylist(), tok.encode(column.slice(a, b - a).to_pylist())):
+                    ids = np.append(ids, np.uint16(end_id))
+                    for start in range(0, len(ids), window):
+                        p = ids[start : start + window]
+                        check = crc(p)
+                        if len(p) == window:
+                            out.append((check << 16 | start >> 12 & 0xFFFF, doc_id, start, window, len(ids), check, None))
+                        else:
+                            rests.append((doc_id, start, len(p), len(ids), check, p))
+                keys = lexical_keys([r[-1] for r in rests], end_id).tolist() if rests else []
+                out += [(key, *r[:-1], r[-1].astype("<u2").tobytes()) for key, r in zip(keys, rests)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f) for x, f in zip(zip(*out), [pa.int64()] * 6 + [pa.binary()])], [c.split()[0] for c in ITEMS.split(", ")])
+                del out, rests, keys
+                trim_memory()
         tok.reset()  # idle workers stay
         release_memory()
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, ITEMS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, ITEMS)
 
 
 class Range:
@@ -394,7 +397,8 @@ def dealt(items: DataFrame, ranges: int) -> DataFrame:
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, range_ids: int = RANGE_IDS, shard_ids: int = SHARD_IDS) -> DataFrame:
     """One row per piece, by SCHEMA."""
-    items = written(items_of(docs, path, window))
+    with arrow_rows(docs.sparkSession, ROWS):
+        items = written(items_of(docs, path, window))
     total = items.where("ids is not null").agg(F.sum("length")).first()[0] or 0
     most = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt(items, max(1, min(-(-total // range_ids), most))).mapInPandas(pack_range(window, shard_ids), SCHEMA)

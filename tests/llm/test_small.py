@@ -388,6 +388,30 @@ def test_packing(spark, edge, empty):
         assert p["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_packing_holds_few_texts_at_once(spark, monkeypatch):
+    """Executors send few rows of whole texts to a worker at once, whatever the session is set to, which stays as it was."""
+    key, held = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    monkeypatch.setattr(packing, "written", lambda df: held.append(int(spark.conf.get(key))) or common.written(df))
+    pieces = packing.pack(table(spark, [(k, f"text number {k}", "a") for k in range(3000)]), token_counts.vocabulary("word_bpe_49k.json"))
+    assert {r["doc_id"] for r in pieces.collect()} == set(range(3000))
+    assert held and max(held) <= 1024 and spark.conf.get(key) == before
+
+
+def test_packing_tokenizer_has_small_temporaries():
+    import tracemalloc
+
+    tok = packing.tokenizer(token_counts.vocabulary("word_bpe_49k.json"))
+    text = "größere Wörter – “quoted” and it's plain 1234 " * 20_000
+    tok.encode([text])
+    tracemalloc.start()
+    ids = tok.encode([text])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids.tolist() == tok.library.encode(text, add_special_tokens=False).ids
+    assert peak < 26 * len(text)
+
+
 def test_long_run_without_white_space():
     path = token_counts.vocabulary("word_bpe_49k.json")
     tok = packing.WordTokenizer(path)
