@@ -479,13 +479,13 @@ def _(spark, sf):
 @query("cosine_topk_stored", _topk_sql())
 def _(spark, sf):
     """Over the unit vectors that the store keeps beside the vectors."""
-    return _vector_ranks(V.top_k_units(D.stored(spark, sf).table("units"), _vector(spark, sf), 10))
+    return _vector_ranks(V.top_k_units(D.stored_vectors(spark, sf).table("units"), _vector(spark, sf), 10))
 
 
 @query("stored_units_audit", "SELECT vec_id AS chunk_id, NULL::VARCHAR AS fault FROM embeddings WHERE false")
 def _(spark, sf):
     """Stored unit vectors that do not fit their vectors; there are none."""
-    return V.audit(D.vectors(spark, sf), D.stored(spark, sf).table("units"))
+    return V.audit(D.vectors(spark, sf), D.stored_vectors(spark, sf).table("units"))
 
 
 @query("cosine_scoped", _topk_sql("vec_id IN (SELECT doc_id FROM documents WHERE source = 'src1')"))
