@@ -186,11 +186,16 @@ class SearchIndex:
         if prefix:
             rows = rows.join(self.chunks.where(under(prefix)).select("chunk_id"), "chunk_id", "left_semi")
         rows = rows.orderBy(F.desc("score"), "chunk_id").limit(max(0, limit))
-        if limit > MOST_COLLECTED:
-            return self.chunks.join(rows, "chunk_id")
-        found = rows.collect()
+        return self.chunks.join(rows, "chunk_id") if limit > MOST_COLLECTED else self.looked_up(rows)
+
+    def looked_up(self, rows: DataFrame, how: str = "inner") -> DataFrame:
+        """Few `rows` (chunk_id, score) with their chunks, by id; with `how` "left" also those without one. The other chunks are not moved."""
+        found = rows.select("chunk_id", "score").collect()
         few = self.chunks.sparkSession.createDataFrame(found, "chunk_id long, score double")
-        return self.chunks.where(F.col("chunk_id").isin([r["chunk_id"] for r in found])).join(F.broadcast(few), "chunk_id")
+        own = self.chunks.where(F.col("chunk_id").isin([r["chunk_id"] for r in found]))
+        if how == "inner":
+            return own.join(F.broadcast(few), "chunk_id")
+        return few.join(F.broadcast(own), "chunk_id", how)
 
     def search(self, query: str, limit: int = 10, strict: bool = False, prefix: str | None = None) -> DataFrame:
         """The relaxation ladder."""

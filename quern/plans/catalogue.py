@@ -554,9 +554,7 @@ def _two_lists(spark, sf, n=40):
     index = D.indexed(spark, sf)
     found = index.best("anea OR onat OR pour", n)
     lex = found.select("chunk_id", F.col("file_path").alias("path"), F.coalesce("heading", F.lit("")).alias("heading"), X.clip_words(F.col("content"), 40).alias("snippet"), "score", F.lit("fts").alias("method"))
-    near = V.top_k(D.vectors(spark, sf), _vector(spark, sf), n)
-    # at most n rows
-    rows = index.chunks.select("chunk_id", "file_path", "heading", "content").join(F.broadcast(near), "chunk_id", "right")
+    rows = index.looked_up(V.top_k(D.vectors(spark, sf), _vector(spark, sf), n), "left")
     sem = rows.select("chunk_id", F.col("file_path").alias("path"), F.coalesce("heading", F.lit("")).alias("heading"), X.semantic_snippet(F.col("content")).alias("snippet"), "score", F.lit("semantic").alias("method"))
     return lex.select(sem.columns), sem
 

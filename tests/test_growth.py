@@ -27,3 +27,19 @@ def test_vectors_are_stored_without_texts(spark, monkeypatch):
     monkeypatch.setattr(D, "_stores", {})
     assert QUERIES["stored_units_audit"](spark, SF).count() == 0
     assert [key[2] for key in D._stores] == ["embeddings"]
+
+
+def test_fused_lists_move_no_other_chunks(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if chunks were many
+    try:
+        for name in ("rrf_fuse", "hybrid_search", "hybrid_methods"):
+            assert "SortMergeJoin" not in plan(QUERIES[name](spark, SF)), name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lookup_keeps_rows_without_a_chunk(spark, chunks):
+    rows = spark.createDataFrame([(0, 1.0), (77, 0.5)], "chunk_id long, score double")
+    index = R.SearchIndex(None, None, chunks)
+    assert sorted((r["chunk_id"], r["file_path"]) for r in index.looked_up(rows, "left").collect()) == [(0, "/0"), (77, None)]
+    assert [r["chunk_id"] for r in index.looked_up(rows).collect()] == [0]
