@@ -63,7 +63,7 @@ def fold(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Runs of letters and digits, folded."""
-    return F.regexp_extract_all(fold(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.array_remove(F.split(fold(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def iso_time(ns: Column) -> Column:

@@ -43,3 +43,13 @@ def test_lookup_keeps_rows_without_a_chunk(spark, chunks):
     index = R.SearchIndex(None, None, chunks)
     assert sorted((r["chunk_id"], r["file_path"]) for r in index.looked_up(rows, "left").collect()) == [(0, "/0"), (77, None)]
     assert [r["chunk_id"] for r in index.looked_up(rows).collect()] == [0]
+
+
+@pytest.mark.parametrize("at_once", [1, 500_000])
+def test_postings_are_grouped_without_a_shuffle(spark, chunks, monkeypatch, at_once):
+    monkeypatch.setattr(L, "TOKENS_AT_ONCE", at_once)
+    p = L.postings(chunks)
+    assert "Exchange" not in plan(p)
+    want = [("a", 0, "content", [1], 1, 3), ("a", 1, "heading", [0], 1, 1), ("a", 3, "heading", [0], 1, 4), ("a", 5, "heading", [0], 1, 31), ("b", 0, "content", [0, 2], 2, 3)]
+    want += [("b", 3, "content", [2], 1, 4), ("c", 5, "content", list(range(30)), 30, 31), ("ea", 3, "content", [0, 1], 2, 4)]
+    assert sorted(tuple(r) for r in p.collect()) == want
