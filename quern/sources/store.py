@@ -33,8 +33,9 @@ SCHEMAS = {
 }
 
 
-#: Tables that are looked up by a key.
-SORTED = {"postings": "term", "chunks": "chunk_id"}
+#: Tables that are looked up by a key. Chunks are cut into ranges, which are sampled first and so read twice; postings, which are dear to make, are cut by
+#: hash, and where a frequent term makes too much for a task, AQE cuts that.
+SORTED = {"postings": ("term", "chunk_id"), "chunks": ("chunk_id",)}
 
 
 class Store:
@@ -78,19 +79,21 @@ class Store:
             """Write a table, and read it again for what derives from it."""
             out = df.select(*[F.col(c).cast(kind).alias(c) for c, kind in (x.split(" ") for x in SCHEMAS[name].split(", "))])
             key = SORTED.get(name)
-            if key:  # lookups read few row groups
-                out = out.repartitionByRange(key).sortWithinPartitions(key)
+            if key:  # lookups read few row groups or pages
+                out = out.hint("rebalance", key[0]) if name == "postings" else out.repartitionByRange(*key)
+                out = out.sortWithinPartitions(*key)
             names[name] = f"tables/{new}/{name}"
             out.write.parquet(f"{self.root}/{names[name]}")
             return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{names[name]}")
 
+        done = {}
         for name, df in tables.items():
-            done = put(name, df)
-            if name == "lengths":
-                words = F.coalesce(F.sum(F.col("len_content") + F.col("len_heading")), F.lit(0))
-                put("stats", done.agg(F.count("*").alias("n"), words.alias("words")))
+            done[name] = put(name, df)
             if name == "embeddings":  # one generation names both, so unit vectors are never those of other vectors
-                put("units", V.normalised(done))
+                put("units", V.normalised(done[name]))
+        if "postings" in done:  # written with their chunks; every word is in one posting, so no text is read for this
+            words = done["postings"].agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
+            put("stats", done["chunks"].agg(F.count("*").alias("n")).crossJoin(F.broadcast(words)))  # one row each
         fs, p = self._fs(f"{self.root}/pending-{new}")
         stream = fs.create(p, True)
         stream.write(bytearray(json.dumps(names).encode()))

@@ -53,3 +53,15 @@ def test_postings_are_grouped_without_a_shuffle(spark, chunks, monkeypatch, at_o
     want = [("a", 0, "content", [1], 1, 3), ("a", 1, "heading", [0], 1, 1), ("a", 3, "heading", [0], 1, 4), ("a", 5, "heading", [0], 1, 31), ("b", 0, "content", [0, 2], 2, 3)]
     want += [("b", 3, "content", [2], 1, 4), ("c", 5, "content", list(range(30)), 30, 31), ("ea", 3, "content", [0, 1], 2, 4)]
     assert sorted(tuple(r) for r in p.collect()) == want
+
+
+def test_tokens_of_an_index_are_made_once(spark, monkeypatch):
+    """Statistics come from the stored postings, and no range is sampled for them."""
+    monkeypatch.setattr(D, "_stores", {})
+    seen = []
+    monkeypatch.setattr(D, "postings", lambda c: seen.append(L.postings(c)) or seen[-1])
+    index = D.indexed(spark, SF)
+    (store,) = D._stores.values()
+    assert "lengths" not in store.named() and len(seen) == 1
+    words = index.postings.selectExpr("sum(tf) as w").first()["w"]
+    assert tuple(index.stats.first()) == (D.chunks(spark, SF).count(), words)
