@@ -7,7 +7,10 @@ import os
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from quern.functions.text import has_text, normal_newlines, strip_images, strip_
 
 #: Suffixes of documents that need a converter.
 DOCUMENTS = (".pdf", ".doc", ".docx", ".rtf", ".ppt", ".pptx", ".xls", ".xlsx", ".odt", ".ods", ".odp", ".html", ".htm", ".epub", ".csv", ".tsv")
+#: Bytes of content that a Python worker converts at once; a file is never cut.
+BYTES_AT_ONCE = 2_000_000
 SCAN = "path string, directory string, mtime_ns long, size long"
 
 
@@ -120,12 +125,17 @@ def convert(rows: DataFrame, converter: Converter) -> DataFrame:
         except Exception:  # noqa: BLE001  whatever a converter raises is that file's error
             return "", "error"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [one(p, bytes(c)) for p, c in zip(pdf["path"], pdf["content"])]
-            yield pd.DataFrame({"path": pdf["path"], "text": [t for t, _ in found], "status": [s for _, s in found]})
-
-    out = rows.select("path", "content").mapInPandas(run, "path string, text string, status string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column("content")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = np.unique((np.cumsum(sizes) - sizes) // BYTES_AT_ONCE, return_index=True)[1].tolist()
+            for a, b in zip(starts, [*starts[1:], len(sizes)]):
+                part = batch.slice(a, b - a)
+                found = [one(p.as_py(), c.as_py() or b"") for p, c in zip(part.column("path"), part.column("content"))]
+                kinds = (pa.array(x, pa.string()) for x in ([t for t, _ in found], [s for _, s in found]))
+                yield pa.RecordBatch.from_arrays([part.column("path"), *kinds], ["path", "text", "status"])
+
+    out = rows.select("path", "content").mapInArrow(run, "path string, text string, status string")
     return out.withColumn("text", cleaned(F.col("text"))).withColumn("real", has_text(F.col("text")))
 
 

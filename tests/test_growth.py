@@ -65,3 +65,23 @@ def test_tokens_of_an_index_are_made_once(spark, monkeypatch):
     assert "lengths" not in store.named() and len(seen) == 1
     words = index.postings.selectExpr("sum(tf) as w").first()["w"]
     assert tuple(index.stats.first()) == (D.chunks(spark, SF).count(), words)
+
+
+def test_conversion_holds_few_contents(spark, monkeypatch):
+    """A worker gives its results piece by piece, and a null content is empty."""
+    monkeypatch.setattr(readers, "BYTES_AT_ONCE", 10)
+    rows = spark.createDataFrame([(f"/{k}.html", None if k == 3 else b"x" * 6) for k in range(8)], "path string, content binary").coalesce(1)
+    taken = {}
+
+    class Rows:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            taken["run"] = run
+            return rows.mapInArrow(run, schema)
+
+    got = readers.convert(Rows(), lambda content, suffix, ocr: content.decode() + "!").collect()
+    assert sorted((r["path"], r["text"], r["status"]) for r in got) == [(f"/{k}.html", "!" if k == 3 else "xxxxxx!", "ok") for k in range(8)]
+    batch = pa.RecordBatch.from_pydict({"path": [str(k) for k in range(8)], "content": [b"x" * 6] * 8})
+    assert max(len(x) for x in taken["run"](iter([batch]))) == 2
