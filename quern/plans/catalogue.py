@@ -328,7 +328,7 @@ def _(spark, sf):
 
 @query("term_df", f"WITH {D.TOKENISED}, x AS (SELECT chunk_id, unnest(list_concat(ct, ht)) AS term FROM t) SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM x GROUP BY term")
 def _(spark, sf):
-    return L.document_frequencies(L.postings(D.chunks(spark, sf)))
+    return L.document_frequencies(D.chunks(spark, sf))
 
 
 @query(

@@ -67,6 +67,13 @@ def test_tokens_of_an_index_are_made_once(spark, monkeypatch):
     assert tuple(index.stats.first()) == (D.chunks(spark, SF).count(), words)
 
 
+def test_frequencies_shuffle_sums_only(spark, chunks):
+    df = L.document_frequencies(chunks)
+    text = plan(df)
+    assert text.count("Exchange") == 1 and "Expand" not in text
+    assert sorted(tuple(r) for r in df.collect()) == [("a", 4, 4), ("b", 2, 3), ("c", 1, 30), ("ea", 1, 2)]
+
+
 def test_conversion_holds_few_contents(spark, monkeypatch):
     """A worker gives its results piece by piece, and a null content is empty."""
     monkeypatch.setattr(readers, "BYTES_AT_ONCE", 10)
